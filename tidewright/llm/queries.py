@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encoded
 from .common import read
 from .decontaminate import contamination
+from .licences import scan_documents
+from .lines import deduplicated
 from .minhash import near_duplicates
+from .passages import document_repeats
+from .quality import scored
+from .tokencount import token_counts
+from .topk import nearest
 from .warc import round_trip
 
 
@@ -23,6 +29,30 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(read(spark, sf_dir, "documents"))
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,12 +65,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op8_bpe, op9_decontaminate, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_quality, op3_lines, op4_licences, op5_token_counts, op6_topk, op7_passages, op8_bpe, op9_decontaminate, op10_warc)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op6_topk": """
+WITH v AS (
+  SELECT DISTINCT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""",
     "op9_decontaminate": f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 grams AS (

@@ -1,23 +1,56 @@
-"""A corpus pipeline: quality, line dedup, near-dedup, decontamination, encoding."""
+"""A corpus pipeline: what a quality classifier rejects goes, recurring lines are cut, one document of each near-duplicate group stays, benchmark passages
+are removed, and the rest is encoded and decoded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.llm.bpe import encoded
+from tidewright.llm.common import new_path, read
+from tidewright.llm.decontaminate import decontaminate
+from tidewright.llm.lines import dedup_lines
 from tidewright.llm.minhash import keep_one
+from tidewright.llm.quality import keep_good
+from tidewright.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a score of 0.5 or more."""
+    return keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates are cut, but for their first occurrence."""
+    return dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest doc_id."""
     return keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with passages of several benchmark items go; single passages are cut out."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded text."""
+    return encoded(docs, tokenizer_path())
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
+#: The classifier, MinHash and BPE have no SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents of sf_dir; each stage's result is written as Parquet and read again by the next."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = new_path(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

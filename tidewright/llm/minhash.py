@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textsets as X
-from .common import small_batches, table, text_of
-from .neardup import link
+from .common import maybe_broadcast, small_batches, table, text_of
+from .neardup import components, link
 
 COORDINATES, BANDS, WIDTH, PERCENT = 144, 24, 5, 85
 
@@ -54,21 +54,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = table(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "classes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        picked = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().cast("binary").alias("text")).join(nodes, "node", "left_semi")
-        return picked.mapInArrow(_sets, "node long, items array<long>").where("size(items) > 0").dropDuplicates(["node", "items"])
+        wanted = maybe_broadcast(table(nodes, "nodes"))
+        picked = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().cast("binary").alias("text")).join(wanted, "node", "left_semi")
+        return picked.mapInArrow(_sets, "node long, items array<long>").where("size(items) > 0")
 
     links, comps = link(classes, sets_of, percent)
-    same_id = known.groupBy("digest", "doc_id").agg(F.lit(1).alias("one")).groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1")
-    if not same_id.isEmpty():  # rows of one id but of several texts tie the classes of those texts together
-        tied = known.join(same_id.select("doc_id"), "doc_id", "left_semi").join(classes.select("digest", "node"), "digest").where("node != doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-        from .neardup import components
-
-        comps = components(links.union(tied).distinct())
-        named = classes.select("digest", "node")
-        own = comps.select(F.col("node").alias("doc_id"), F.col("comp").alias("own_comp"))
-        named = named.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
-        return _finish(seen.join(own, "doc_id", "left").join(named, "digest", "left").withColumn("component_id", F.coalesce("own_comp", "component_id")))
-    named = classes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
+    named = classes.select("digest", "node")
+    shared = known.groupBy("digest", "doc_id").count().groupBy("doc_id").count().where("count > 1").select("doc_id")
+    tied = table(known.join(shared, "doc_id", "left_semi").join(named, "digest").where("node != doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")), "tied")
+    if not tied.isEmpty():  # rows of one id but of several texts tie those texts' classes together
+        comps = components(links.select("a", "b").union(tied))
+    named = named.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
     return _finish(seen.join(named, "digest", "left"))
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -42,47 +42,96 @@ def components(edges: DataFrame) -> DataFrame:
     return table(found.join(least, "root").select("node", "comp"), "components")
 
 
-def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, small: int = 4) -> tuple[DataFrame, DataFrame]:
+def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, small: int = 8) -> tuple[DataFrame, DataFrame]:
     """Links of classes (node, bands: array<long>) whose sets have 100 * intersection >= percent * union, and their components.
 
-    sets_of(nodes) gives (node, items: array<long>, distinct) for a frame of nodes. Returns the links (a, b) between different nodes that were
-    needed to settle all components, and (node, comp) for the nodes in them. Every pair of a bucket is compared unless its ends are already in one
-    component: a bucket's first and last node meet all others, then rounds of more pivots follow for the buckets whose rest isn't joined yet.
+    sets_of(nodes) gives (node, items: array<long>, distinct) for a frame of nodes. Returns links (a, b) between different nodes that settle all
+    components, and (node, comp) for the nodes in them. No pair that shares a bucket and could join two components goes unexamined:
+
+    - the pivot of a bucket, its member with the most company in all its buckets, is compared with all others;
+    - buckets of few members that aren't one component yet are compared in full;
+    - in larger ones, a pair (d, e) that is near shares at least q = p * (|d| + |e|) / (100 + p) - min(|d & B|, |e & B|) items outside the pivot B.
+      Where q can be below 1, d and e are compared at once. For the others the prefix principle holds: of the items outside B, in order of their
+      frequency, those of d and those of e have one in common among all but the last q - 1. These items are the buckets of what remains, which is
+      worked off by rounds of pivots.
     """
-    spark = classes.sparkSession
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("n")).where("p < q")
-    member = table(buckets.join(ends, "bucket"), "members")
-    pairs = member.where("node > p").select(F.col("p").alias("a"), F.col("node").alias("b")).union(member.where("node > p and node < q").select(F.col("node").alias("a"), F.col("q").alias("b")))
-    links = table(verified(pairs, sets_of, percent), "links")
-    comps = components(links)
-    rest = table(member.where(f"n >= {small} and node > p and node < q").select("bucket", "node"), "rest")
-    pivots = 4
-    while not rest.isEmpty():
-        named = rest.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        named = table(named.join(open_, "bucket"), "open")
-        if named.isEmpty():
-            break
-        first = named.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).where(f"k <= {pivots}").drop("k")
+    member = table(buckets.join(_shared(buckets), "bucket"), "members")
+    sets = table(sets_of(member.select("node").distinct()).withColumn("size", F.size("items")), "sets")
+    company = member.groupBy("node").agg(F.sum("n").alias("company"))
+    pivot = member.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("pivot"))
+    member = table(member.join(pivot, "bucket").where("node != pivot"), "members")
+    near = table(compared(member.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets), "compared")
+    links, comps = _more(None, None, near, percent)
+
+    left = table(_mixed(member.where("n > 2"), comps), "left")
+    few = left.where(F.col("n") <= small)
+    pairs = _across(few, few)
+    many = table(left.where(F.col("n") > small).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "comp").distinct().join(near, ["a", "b"]), "many")
+    if many.isEmpty():
+        return _more(links, comps, compared(pairs, sets), percent)
+    least = many.groupBy("a").agg(F.min("size_b").alias("least"))
+    need = F.ceil((F.col("size_b") + F.greatest("least", F.ceil(F.col("size_b") * percent / 100))) * percent / (100 + percent)) - F.col("both")
+    many = many.join(least, "a").withColumn("need", F.greatest(need, F.lit(1))).withColumn("blunt", (need < 1) & ~_near(percent))
+    far = many.where("blunt").select("a", F.col("b").alias("d"), F.col("size_b").alias("size_d"), F.col("comp").alias("comp_d"), F.col("both").alias("both_d"))
+    blunt = far.join(many, "a").where(f"comp != comp_d and both_d * {100 + percent} >= {percent} * (size_d + size_b) and 100 * size_b >= {percent} * size_d")
+    pairs = pairs.union(blunt.select(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b")))
+    links, comps = _more(links, comps, compared(pairs, sets), percent)
+
+    of_a, of_b = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("node").alias("b"), "items")
+    outside = many.select("a", "b", "need").join(of_a, "a").join(of_b, "b").select("a", "b", F.array_except("items", "items_a").alias("rest"), "need")
+    outside = table(outside.select("a", "b", F.explode("rest").alias("item"), (F.size("rest") - F.col("need") + 1).alias("prefix")), "outside")
+    often = outside.groupBy("a", "item").agg(F.count("*").alias("often"))
+    ranked = outside.where("prefix > 0").join(often.where("often > 1"), ["a", "item"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("a", "b").orderBy("often", "item"))).where("k <= prefix and often > 1")
+    again = ranked.select(F.col("b").alias("node"), F.xxhash64("a", "item").alias("bucket"))
+    member = again.join(_shared(again), "bucket")
+    pivots = small
+    while True:
+        left = table(_mixed(member, comps), "left")
+        if left.isEmpty():
+            return links, comps
+        first = left.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).where(f"k <= {pivots}").drop("k")
         first = table(first, "pivots")
-        other = named.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = first.join(other, "bucket").where("node != b and comp != comp_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        more = table(verified(pairs, sets_of, percent), "links")
-        rest = table(named.select("bucket", "node").join(first.select("bucket", "node"), ["bucket", "node"], "left_anti"), "rest")
+        links, comps = _more(links, comps, compared(_across(first, left), sets), percent)
+        member = left.select("bucket", "node", "n").join(first.select("bucket", "node"), ["bucket", "node"], "left_anti")
         pivots *= 4
-        if not more.isEmpty():
-            links = table(links.union(more).distinct(), "links")
-            comps = components(links)
-    assert spark is not None
-    return links, comps
-
-
-def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose full sets are near enough."""
-    pairs = table(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = table(sets_of(nodes), "sets")
-    a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    sized = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("items_a", "items_b")))
-    return sized.where(100 * F.col("both") >= percent * (F.size("items_a") + F.size("items_b") - F.col("both"))).select("a", "b").distinct()
+
+
+def _shared(buckets: DataFrame) -> DataFrame:
+    """The buckets of at least two nodes, with the number of their members."""
+    return buckets.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("n")).where("p < q").select("bucket", "n")
+
+
+def _mixed(member: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of buckets that aren't in one component, with their component."""
+    named = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return named.join(mixed, "bucket")
+
+
+def _across(some: DataFrame, others: DataFrame) -> DataFrame:
+    """The pairs of a bucket, one of some and one of others, that lie in different components."""
+    left = some.select("bucket", F.col("node").alias("x"), F.col("comp").alias("comp_x"))
+    right = others.select("bucket", F.col("node").alias("y"), F.col("comp").alias("comp_y"))
+    return left.join(right, "bucket").where("comp_x != comp_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _near(percent: int):
+    return F.col("both") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
+
+
+def _more(links: DataFrame | None, comps: DataFrame | None, near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links with those of compared pairs, and the components if there are new ones."""
+    new = table(near.where(_near(percent)).select("a", "b"), "near")
+    if links is not None and comps is not None and new.isEmpty():
+        return links, comps
+    links = table(new if links is None else links.union(new), "links")
+    return links, components(links)
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) with the sizes of their sets (size_a, size_b) and of what they share (both)."""
+    a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"), F.col("size").alias("size_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"), F.col("size").alias("size_b"))
+    return pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("both"))

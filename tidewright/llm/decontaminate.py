@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, same_row, table, text_of
+from .common import BROADCAST_ROWS, maybe_broadcast, same_row, table, text_of
 
 WINDOW, ITEMS = 8, 2
+#: Stands for a row as a whole among the hashes of its windows.
+MARK = -0x5E3A_77C1_0D2B_4F69
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before lowering: A-Z belong to it.
+#: A word before lowering: A-Z belong to it. Only texts that are cut need it.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEYS = ("doc_id", "row_hash")
 
@@ -42,26 +44,39 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return grams.withColumn("gram_hash", F.xxhash64(F.transform("gram", lambda x: F.xxhash64(x))))
 
 
-def hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, start, length, gram_hash): every occurrence of a window in a document, start counted from 0.
+def hits(docs: DataFrame, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_hash, start, length, gram_hash, gram), every occurrence of a window in a document, start counted from 0; and
+    (doc_id, row_hash, n_words), a row for each row of docs. Both come from one scan of the texts, and are written.
 
-    grams: the written result of windows().
+    grams: the written result of windows(). Before a row's windows goes a mark that the set holds too, so that each row passes the join once.
     """
     lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most WINDOW numbers
     wanted = grams.select("gram_hash", "length", "gram").dropDuplicates(["gram_hash", "gram"])
-    found: DataFrame | None = None
     scanned = docs.select("doc_id", F.xxhash64(text_of()).alias("row_hash"), words(text_of()).alias("words"))
+    if wanted.count() > BROADCAST_ROWS or not lengths:
+        counted = table(scanned.select(*KEYS, F.size("words").cast("long").alias("n_words")), "word-counts")
+    else:
+        counted = None
     scanned = scanned.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
-    for n in lengths:
-        spots = F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.xxhash64(F.slice("hashes", i, n))))
-        seen = scanned.select("doc_id", "row_hash", "words", F.posexplode(spots).alias("start", "gram_hash"))
-        of_n = maybe_broadcast(table(wanted.where(F.col("length") == n), "grams"))
-        sure = seen.join(of_n, "gram_hash").where(F.slice("words", F.col("start") + 1, n) == F.col("gram"))
-        sure = sure.select("doc_id", "row_hash", "start", "length", "gram_hash", "gram")
+    found: DataFrame | None = None
+    for k, n in enumerate(lengths):
+        spots = F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.xxhash64(F.slice("hashes", i, n)))).otherwise(F.array().cast("array<long>"))
+        of_n = wanted.where(F.col("length") == n).select("gram_hash", "gram")
+        if counted is None and k == 0:
+            of_n = of_n.union(docs.sparkSession.range(1).select(F.lit(MARK), F.lit(None).cast("array<string>")))
+        of_n = table(of_n, "grams")
+        seen = scanned.select(*KEYS, "words", F.posexplode(F.concat(F.array(F.lit(MARK)), spots)).alias("at", "gram_hash"))
+        same = F.when(F.col("gram").isNull(), F.col("at") == 0).otherwise((F.col("at") > 0) & (F.slice("words", F.greatest("at", F.lit(1)), n) == F.col("gram")))
+        sure = seen.join(maybe_broadcast(of_n), "gram_hash").where(same)
+        sure = sure.select(*KEYS, (F.col("at") - 1).alias("start"), F.lit(n).alias("length"), "gram_hash", "gram", F.when(F.col("gram").isNull(), F.size("words")).cast("long").alias("n_words"))
         found = sure if found is None else found.union(sure)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash long, start int, length int, gram_hash long, gram array<string>")
-    return found
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        found = docs.sparkSession.createDataFrame([], f"doc_id {kind}, row_hash long, start int, length int, gram_hash long, gram array<string>, n_words long")
+    found = table(found, "hits")
+    if counted is None:
+        counted = found.where("gram is null").select(*KEYS, "n_words")
+    return found.where("gram is not null").drop("n_words"), counted
 
 
 def hit_words(found: DataFrame) -> DataFrame:
@@ -72,13 +87,12 @@ def hit_words(found: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least_items: int = ITEMS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs."""
     grams = table(windows(benchmark, size), "windows")
-    found = table(hits(docs, grams), "hits")
+    found, base = hits(docs, grams)
     covered = hit_words(found).groupBy(*KEYS).agg(F.count("*").alias("n_hit"))
     of = maybe_broadcast(grams.select(F.col("item_id").cast("string").alias("item_id"), "gram_hash", "gram").distinct())
     items = found.select(*KEYS, "gram_hash", "gram").distinct().join(of, ["gram_hash", "gram"]).select(*KEYS, "item_id").distinct()
     items = items.groupBy(*KEYS).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
     told = table(covered.join(items, same_row(covered, items, KEYS)).select(*(covered[k].alias(f"k_{k}") for k in KEYS), "n_hit", "n_items", "items"), "hit-counts")
-    base = docs.select("doc_id", F.xxhash64(text_of()).alias("row_hash"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("n_words"))
     told = maybe_broadcast(told)
     out = base.join(told, base["doc_id"].eqNullSafe(told["k_doc_id"]) & (base["row_hash"] == told["k_row_hash"]), "left")
     n_items = F.coalesce("n_items", F.lit(0))
@@ -88,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least_items: int = ITEMS) -> DataFrame:
     """docs without the rows that hold windows of least_items items or more, and without the hit words, with what follows each up to the next word, in the others."""
     grams = table(windows(benchmark, size), "windows")
-    found = table(hits(docs, grams), "hits")
+    found, _ = hits(docs, grams)
     of = maybe_broadcast(grams.select("item_id", "gram_hash", "gram").distinct())
     items = found.select(*KEYS, "gram_hash", "gram").distinct().join(of, ["gram_hash", "gram"]).select(*KEYS, "item_id").distinct().groupBy(*KEYS).agg(F.count("*").alias("__n_items"))
     places = hit_words(found).groupBy(*KEYS).agg(F.collect_list("word").alias("__hit"))  # as many at most as the one document has words

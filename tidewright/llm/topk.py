@@ -3,7 +3,7 @@
 Vectors are dealt into blocks by a hash of their id; each block of vectors meets each block of queries once (an equi-join on the pair of blocks, by
 cogrouping). In a block, each dimension has its list sorted by component. A query walks all lists at once, from the top where its component is
 positive and from the bottom where it is negative, in steps of DEPTH entries; vectors seen for the first time are scored in full. It stops when the sum of
-what the lists can still give is below the k-th score found. A last step merges the k best of each block.
+what the lists can still give is below the k-th score found, or nothing is left to see. A last step merges the k best of each block.
 
 Components x are quantised to floor(256 * x), so scores are integers and ties are exact; they go to the smaller vec_id.
 
@@ -43,6 +43,15 @@ class Block:
         self.ids, self.rows = ids[at], rows[at]
         self.order = np.argsort(self.rows, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.rows, self.order, 0)
+        self.peak = float(np.abs(self.rows).max(initial=0))
+        self.exact = self.peak < 2**53
+        self.floats = self.rows.astype(float)
+
+    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products; in floating point where that is exact, which is faster."""
+        if self.exact and len(query) * self.peak * float(np.abs(query).max(initial=0)) < 2**53:
+            return (self.floats[at] @ query.astype(float)).astype(np.int64)
+        return self.rows[at] @ query
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the k best rows other than the query's own."""
@@ -50,6 +59,7 @@ class Block:
         live = np.flatnonzero(query)
         up = query[live] > 0
         seen = self.ids == query_id
+        left = n - int(seen.sum())
         found = np.zeros(0, np.int64)
         scores = np.zeros(0, np.int64)
         for depth in range(0, n, DEPTH):
@@ -57,18 +67,19 @@ class Block:
                 break
             some = np.arange(depth, min(depth + DEPTH, n))
             place = np.where(up[:, None], n - 1 - some[None, :], some[None, :])
-            new = np.unique(self.order[place, live[:, None]])
-            new = new[~seen[new]]
-            seen[new] = True
-            found, scores = np.concatenate([found, new]), np.concatenate([scores, self.rows[new] @ query])
+            fresh = np.zeros(n, bool)
+            fresh[self.order[place, live[:, None]]] = True
+            fresh &= ~seen
+            new = np.flatnonzero(fresh)
+            seen |= fresh
+            left -= len(new)
+            found, scores = np.concatenate([found, new]), np.concatenate([scores, self.scores(new, query)])
             if len(found) > k:
                 keep = np.lexsort((self.ids[found], -scores))[:k]
                 found, scores = found[keep], scores[keep]
             bound = int((self.sorted[place[:, -1], live] * query[live]).sum())
-            if len(found) == k and bound < scores.min():
+            if not left or len(found) == k and bound < scores.min():
                 break
-        else:
-            return self.ids[found], scores
         if not len(live):  # all scores are 0
             found = np.flatnonzero(~seen)[:k]
             scores = np.zeros(len(found), np.int64)

@@ -24,7 +24,8 @@ KEYS = ["doc_id", "row_hash"]
 
 def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("row_hash"), F.posexplode(F.split(text_of(), "\n", -1)).alias("line", "content"))
-    tokens = F.split(F.trim(F.regexp_replace("content", r"\s+", " ")), " ")
+    spaced = F.replace(F.replace(F.col("content"), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    tokens = F.array_remove(F.split(spaced, " "), "")
     rows = rows.select(*KEYS, "line", tokens.alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
     field = lambda t: F.when(t.rlike(r"\d"), F.lit("<*>")).otherwise(t)
     return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.transform(F.slice("tokens", 1, DEPTH), field)))
@@ -53,7 +54,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def _cut_table(docs: DataFrame, min_docs: int) -> DataFrame:
     gone = dropped_lines(docs, min_docs).groupBy(*KEYS).agg(F.collect_set("line").alias("__gone"))  # as many at most as the one document has lines
-    return table(gone.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__row_hash"), "__gone"), "cuts")
+    return gone.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__row_hash"), "__gone")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -63,7 +64,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def _joined(docs: DataFrame, min_docs: int):
-    cuts = maybe_broadcast(_cut_table(docs, min_docs), 50_000)
+    cuts = table(_cut_table(docs, min_docs), "cuts")  # it grows with the texts, so it is joined by shuffle
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("__row_hash")), "left")
     parts = F.split(docs["text"], "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))

@@ -76,4 +76,4 @@ def _finish(df: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without all but the first document of each near-duplicate group; of equal doc_ids all rows stay or go together."""
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(table(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(maybe_broadcast(table(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)

@@ -38,10 +38,10 @@ def _num_sql(c: str) -> str:
         "skewness": f"avg(pow({c} - {m}, 3)) / pow(avg(pow({c} - {m}, 2)), 1.5)", "kurtosis": f"avg(pow({c} - {m}, 4)) / pow(avg(pow({c} - {m}, 2)), 2) - 3", "sum": f"avg({c}) * count({c})", "zeros": f"count(*) FILTER ({c} = 0)", "negatives": f"count(*) FILTER ({c} < 0)",
         "q05": f"quantile_cont({c}, 0.05)", "q25": f"quantile_cont({c}, 0.25)", "q50": f"quantile_cont({c}, 0.5)", "q75": f"quantile_cont({c}, 0.75)", "q95": f"quantile_cont({c}, 0.95)",
     }
-    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS metric, round(CAST({v} AS DOUBLE), 4) AS value FROM lineitem" for k, v in parts.items())
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS metric, round(CAST({v} AS DOUBLE), 4) + 0.0 AS value FROM lineitem" for k, v in parts.items())
 
 
-_add("num_profile", "lineitem", lambda d: _rounded(profile.numeric_profile(d, _NUM), 4), " UNION ALL ".join(_num_sql(c) for c in _NUM))
+_add("num_profile", "lineitem", lambda d: _rounded(profile.numeric_profile(d, _NUM), 4).withColumn("value", F.col("value") + 0.0), " UNION ALL ".join(_num_sql(c) for c in _NUM))
 _add("overview_stats", "lineitem", profile.overview, """
 WITH s AS (SELECT count(*) AS n FROM lineitem), d AS (SELECT count(*) AS k FROM (SELECT DISTINCT * FROM lineitem))
 SELECT * FROM (SELECT 'rows' AS metric, n AS value FROM s UNION ALL SELECT 'columns', 11 FROM s UNION ALL SELECT 'cells', n * 11 FROM s UNION ALL SELECT 'missing_cells', 0 FROM s UNION ALL SELECT 'distinct_rows', k FROM d
@@ -189,13 +189,3 @@ WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 104729 AS VARCHAR), 18, '0'
 _ident("issn", F.lpad((F.col("o_orderkey") * 13).cast("string"), 8, "0"), """
 WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 13 AS VARCHAR), 8, '0') AS c FROM orders) SELECT o_orderkey, list_sum(list_transform(generate_series(1, 8), lambda i: CAST(c[i] AS INT) * (9 - i))) % 11 = 0 AS ok FROM n""")
 
-
-def id_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many order keys, made up to 9, 10 and 11 digits, each numeric identifier accepts."""
-    d = _read(spark, sf_dir, "orders").select(*[F.lpad((F.col("o_orderkey") * 7919 + 10 ** (n - 1)).cast("string"), n, "1").alias(f"n{n}") for n in (9, 10, 11)])
-    names = [n for n, s in identifiers.IDENTIFIERS.items() if s.check is not None]
-    row = d.agg(*[F.struct(*[F.count_if(identifiers.validate(x, F.col(f"n{n}"))).alias(f"n{n}") for n in (9, 10, 11)]).alias(x) for x in names])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(f"{x}.n9"), F.col(f"{x}.n10"), F.col(f"{x}.n11")) for x in names])).alias("z")).select("z.*")
-
-
-QUERIES["id_all"] = id_all

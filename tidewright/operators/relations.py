@@ -32,7 +32,7 @@ def _long(row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(x, y, correlation) below the diagonal, each pair over the rows that have both; one aggregate for all pairs."""
     _, pairs = _pairs(df, columns)
-    return _long(df.agg(*[_corr(F.when(real(_c(b)).isNotNull(), real(_c(a))), F.when(real(_c(a)).isNotNull(), real(_c(b)))).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]), pairs)
+    return _long(df.agg(*[_corr(F.when(finite(_c(b)).isNotNull(), finite(_c(a))), F.when(finite(_c(a)).isNotNull(), finite(_c(b)))).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]), pairs)
 
 
 def average_ranks(values: DataFrame, by: list[str], x: str, out: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ TEMPLATES = {
     "Proprietary": "All rights reserved",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
-THRESHOLD = 0.75
+THRESHOLD = 0.8
+#: Words too common in prose to look for first.
+COMMON = "a all and are by for in into is of or other that the this to under with without".split()
 
 
 def _terms(text: str) -> list[str]:
@@ -66,7 +69,7 @@ def anchors(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]
     """Terms of which a line must hold one to reach the threshold with any template: those left out have a norm below it in each."""
     found: set[str] = set()
     for v in vectors.values():
-        for t, _ in sorted(v.items(), key=lambda x: (-x[1], x[0])):
+        for t, _ in sorted(v.items(), key=lambda x: (x[0] in COMMON, len(x[0]) < 5, -x[1], x[0])):
             if math.sqrt(sum(x * x for u, x in v.items() if u not in found)) < threshold - 1e-9:
                 break
             found.add(t)
@@ -78,16 +81,20 @@ def line_matches(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     spark = files.sparkSession
     idf, vectors = weights(templates)
     unknown = 1 + math.log(1 + len(templates))  # the weight of terms that no template has
-    some = "(?i)(^|[^a-z0-9])(" + "|".join(anchors(vectors, threshold)) + ")([^a-z0-9]|$)"
-    lines = files.select("file_key", F.explode(F.split(text_of(), "\n")).alias("content")).where(F.col("content").rlike(some))
-    lines = lines.select("file_key", F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda t: t != "").alias("terms")).dropDuplicates(["file_key", "terms"])
-    counted = lines.select("file_key", "terms", F.explode("terms").alias("term")).groupBy("file_key", "terms", "term").agg(F.count("*").alias("n"))
+    needed = anchors(vectors, threshold)
+    short = "(^|[^a-z0-9])(" + "|".join(t for t in needed if len(t) < 5) + ")([^a-z0-9]|$)"
+    some = lambda c: reduce(lambda a, b: a | b, [*[F.contains(c, F.lit(t)) for t in needed if len(t) >= 5], *([c.rlike(short)] if any(len(t) < 5 for t in needed) else [])])
+    lines = files.select("file_key", F.lower(text_of()).alias("low")).where(some(F.col("low"))).select("file_key", F.posexplode(F.split("low", "\n")).alias("line", "content"))
+    lines = lines.where(some(F.col("content"))).select("file_key", "line", F.split("content", "[^a-z0-9]+").alias("terms"))
+    lines = lines.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in needed])))
+    counted = lines.select("file_key", "line", F.explode("terms").alias("term")).where("term != ''").groupBy("file_key", "line", "term").agg(F.count("*").alias("n"))
     idf_rows = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     vector_rows = spark.createDataFrame([(t, name, x) for name, v in sorted(vectors.items()) for t, x in sorted(v.items())], "term string, licence string, weight double")
     valued = counted.join(F.broadcast(idf_rows), "term", "left").withColumn("value", F.col("n") * F.coalesce("idf", F.lit(unknown)))  # bounded by the templates
-    norms = valued.groupBy("file_key", "terms").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dots = valued.join(F.broadcast(vector_rows), "term").groupBy("file_key", "terms", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    both = dots.join(norms, ["file_key", "terms"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= threshold)
+    valued = table(valued.select("file_key", "line", "term", "value"), "terms")
+    norms = valued.groupBy("file_key", "line").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    dots = valued.join(F.broadcast(vector_rows), "term").groupBy("file_key", "line", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    both = dots.join(norms, ["file_key", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= threshold)
     best = both.groupBy("file_key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("licence").alias("name"))).alias("best"))
     return best.select("file_key", F.col("best.name").alias("licence"), (-F.col("best.less")).alias("cosine"))
 

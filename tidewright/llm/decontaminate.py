@@ -109,8 +109,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
     told = table(items.join(places, same_row(items, places, KEYS)).select(items["doc_id"].alias("__doc_id"), items["row_hash"].alias("__row_hash"), "__n_items", "__hit"), "cuts")
     told = maybe_broadcast(told, 100_000)
     joined = docs.join(told, docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("__row_hash")), "left").where(F.coalesce("__n_items", F.lit(0)) < least_items)
-    text = text_of(docs["text"])
-    own, between = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
+    text = F.when(F.col("__hit").isNotNull(), text_of(docs["text"]))
+    joined = joined.withColumns({"__own": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), "__between": F.split(text, WORD, -1)})  # columns, so that no lambda computes them anew
+    own, between = F.col("__own"), F.col("__between")
     stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__hit"))
     cut = F.concat(F.element_at(between, 1), F.array_join(F.transform(stay, lambda i: F.concat(F.element_at(own, i + 1), F.element_at(between, i + 2))), ""))
     new_text = F.when(F.col("__hit").isNull(), docs["text"]).otherwise(cut)

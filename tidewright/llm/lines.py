@@ -66,7 +66,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def _joined(docs: DataFrame, min_docs: int):
     cuts = table(_cut_table(docs, min_docs), "cuts")  # it grows with the texts, so it is joined by shuffle
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("__row_hash")), "left")
-    parts = F.split(docs["text"], "\n", -1)
+    joined = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(docs["text"], "\n", -1)))  # a column, so that no lambda splits anew
+    parts = F.col("__parts")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     new_text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n"))
     return joined, new_text, F.coalesce(F.size("__gone"), F.lit(0))

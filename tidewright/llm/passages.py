@@ -43,6 +43,11 @@ def _lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.
     return out, np.array(of, np.int64), np.array(start, np.int64), np.array(end, np.int64)
 
 
+def _names(s: X.Sets) -> list[int]:
+    """64 bits that stand for each set; of n different ones, two share them with a chance of n * n / 2**65."""
+    return [int.from_bytes(d[:8], "little", signed=True) for d in X.digests(s) if d is not None]
+
+
 def _line_sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     circulant = X.Circulant(COORDINATES, BANDS)
     for part in parts:
@@ -51,7 +56,7 @@ def _line_sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines, of, start, end = _lines(texts[a:b])
             if lines:
                 s = X.shingle_sets(X.words(lines), WIDTH)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of + a)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(X.digests(s), pa.binary()), pa.array(circulant.band_keys(s), pa.list_(pa.int64()))], names=["doc_id", "start", "end", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of + a)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(_names(s), pa.int64()), pa.array(circulant.band_keys(s), pa.list_(pa.int64()))], names=["doc_id", "start", "end", "node", "bands"])
 
 
 def _line_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,10 +65,10 @@ def _line_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in X.batches(texts):
             lines, of, _, _ = _lines(texts[a:b])
             s = X.shingle_sets(X.words(lines), WIDTH)
-            d = X.digests(s)
+            d = _names(s)
             keep = [k for k in range(len(lines)) if d[k] in wanted[a + int(of[k])]]
             items = [s.items[s.first[k] : s.first[k + 1]].view(np.int64) for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([d[k] for k in keep], pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for k in keep], pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
 
 
 def picked_windows(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +108,13 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     per_window = windows.groupBy("window").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("window", "keeper")
     shared = windows.join(maybe_broadcast(table(per_window, "windows")), "window").select("doc_id", "start", (F.col("start") + PASSAGE).alias("end"), "keeper")
 
-    lines = table(texts.mapInArrow(_line_sketch, "doc_id long, start int, end int, node binary, bands array<long>"), "paragraphs")
+    lines = table(texts.mapInArrow(_line_sketch, "doc_id long, start int, end int, node long, bands array<long>"), "paragraphs")
     classes = table(lines.groupBy("node").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("last"), F.min("bands").alias("bands")), "classes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = classes.join(nodes, "node").groupBy(F.col("at").alias("doc_id")).agg(F.collect_set("node").alias("wanted"))  # as many at most as the one document has lines
         picked = texts.join(maybe_broadcast(table(wanted, "wanted"), 200_000), "doc_id").select("text", "wanted")
-        return picked.mapInArrow(_line_sets, "node binary, items array<long>").dropDuplicates(["node"])
+        return picked.mapInArrow(_line_sets, "node long, items array<long>").dropDuplicates(["node"])
 
     _, comps = link(classes.select("node", "bands"), sets_of, percent)
     near = classes.join(comps, "node")

@@ -74,7 +74,7 @@ def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     need = F.ceil((F.col("size_b") + F.greatest("least", F.ceil(F.col("size_b") * percent / 100))) * percent / (100 + percent)) - F.col("both")
     many = many.join(least, "a").withColumn("need", F.greatest(need, F.lit(1))).withColumn("blunt", (need < 1) & ~_near(percent))
     far = many.where("blunt").select("a", F.col("b").alias("d"), F.col("size_b").alias("size_d"), F.col("comp").alias("comp_d"), F.col("both").alias("both_d"))
-    blunt = far.join(many, "a").where(f"comp != comp_d and both_d * {100 + percent} >= {percent} * (size_d + size_b) and 100 * size_b >= {percent} * size_d")
+    blunt = far.join(many, "a").where(f"comp != comp_d and both_d * {100 + percent} >= {percent} * (size_d + size_b) and 100 * size_b >= {percent} * size_d and (least(both_d, both) + least(size_d - both_d, size_b - both)) * {100 + percent} >= {percent} * (size_d + size_b)")
     pairs = pairs.union(blunt.select(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b")))
     links, comps = _more(links, comps, compared(pairs, sets), percent)
 

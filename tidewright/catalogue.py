@@ -150,8 +150,9 @@ _add("text_replace_digits", "documents", _cut("replace_digits", value="#", block
 _add("text_remove_bracketed", "documents", _cut("remove_bracketed", brackets="round"), _T.format("regexp_replace(text, '\\([^()]*\\)', '', 'g')"))
 _add("text_default", "documents", lambda d: text.clean_text(d, "text").select("doc_id", F.md5("text").alias("digest")))
 _add("clean_url", "pages", lambda d: semantic.clean_url(d, "url", split=True).select("page_id", "scheme", "host", "url_clean"), "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^(https?://[^?#]*)', 1) AS url_clean FROM pages")
-_MAIL = F.concat(F.lit("User"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, F.lit(" at ")).otherwise(F.lit("@")), F.lit("Example.COM"))
-_add("clean_email", "customer", lambda d: semantic.clean_email(d.select("c_custkey", _MAIL.alias("m")), "m").select("c_custkey", "m_clean"), "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'user' || c_custkey || '@example.com' END AS m_clean FROM customer")
+_MAIL = lambda: F.concat(
+    F.lit("User"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, F.lit(" at ")).otherwise(F.lit("@")), F.lit("Example.COM"))
+_add("clean_email", "customer", lambda d: semantic.clean_email(d.select("c_custkey", _MAIL().alias("m")), "m").select("c_custkey", "m_clean"), "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'user' || c_custkey || '@example.com' END AS m_clean FROM customer")
 _add("clean_phone", "customer", lambda d: d.select("c_custkey", semantic.phone(F.concat(F.lit("(555) "), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), F.lit("-0199")), "e164").alias("p")), "SELECT c_custkey, '+1555' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '0199' AS p FROM customer")
 _add("clean_ip", "events", lambda d: d.select("event_id", *[semantic.ipv4(F.col("event_id").cast("string"), f).alias(f) for f in ("compressed", "hexa", "integer")]), "SELECT event_id, (event_id >> 24) || '.' || ((event_id >> 16) & 255) || '.' || ((event_id >> 8) & 255) || '.' || (event_id & 255) AS compressed, '0x' || lower(to_hex(event_id)) AS hexa, CAST(event_id AS VARCHAR) AS integer FROM events")
 _add("clean_country", "nation", lambda d: country.clean_country(d.select("n_nationkey", F.element_at(F.array(*[F.lit(x) for x in ("NO", "deu", "France", "840", "Atlantis")]), F.col("n_nationkey") % 5 + 1).alias("c")), "c").select("n_nationkey", "c_clean"), "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Norway' WHEN 1 THEN 'Germany' WHEN 2 THEN 'France' WHEN 3 THEN 'United States' END AS c_clean FROM nation")
@@ -171,21 +172,22 @@ _add("downcast", "lineitem", lambda d: prepare.downcast(d.select("l_linenumber",
 _add("insights", "lineitem", profile.insights)
 
 
-def _ident(name: str, made: Column, sql: str) -> None:
-    _add(f"id_{name}", "orders", lambda d: d.select("o_orderkey", identifiers.validate(name, made).alias("ok")), sql)
+def _ident(name: str, made: Callable[[], Column], sql: str) -> None:
+    _add(f"id_{name}", "orders", lambda d: d.select("o_orderkey", identifiers.validate(name, made()).alias("ok")), sql)
 
 
-_N16 = F.lpad((F.col("o_orderkey") * 7919 + 40000000000000).cast("string"), 15, "0")
+_N16 = lambda: F.lpad(
+    (F.col("o_orderkey") * 7919 + 40000000000000).cast("string"), 15, "0")
 _ident("imei", _N16, """
 WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 + 40000000000000 AS VARCHAR), 15, '0') AS c FROM orders)
 SELECT o_orderkey, list_sum(list_transform(generate_series(1, 15), lambda i: CASE WHEN i % 2 = 1 THEN CAST(c[i] AS INT) ELSE (CAST(c[i] AS INT) * 2) // 10 + (CAST(c[i] AS INT) * 2) % 10 END)) % 10 = 0 AS ok FROM n""")
-_ident("ean", F.lpad((F.col("o_orderkey") * 7919 + 4000000000000).cast("string"), 13, "0"), """
+_ident("ean", lambda: F.lpad((F.col("o_orderkey") * 7919 + 4000000000000).cast("string"), 13, "0"), """
 WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 + 4000000000000 AS VARCHAR), 13, '0') AS c FROM orders)
 SELECT o_orderkey, list_sum(list_transform(generate_series(1, 13), lambda i: CAST(c[i] AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10 = 0 AS ok FROM n""")
-_ident("be_vat", F.lpad((F.col("o_orderkey") * 37 + 400000000).cast("string"), 10, "0"), """
+_ident("be_vat", lambda: F.lpad((F.col("o_orderkey") * 37 + 400000000).cast("string"), 10, "0"), """
 WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 37 + 400000000 AS VARCHAR), 10, '0') AS c FROM orders) SELECT o_orderkey, 97 - CAST(c[1:8] AS BIGINT) % 97 = CAST(c[9:10] AS BIGINT) AS ok FROM n""")
-_ident("iban", F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") * 104729).cast("string"), 18, "0")), """
+_ident("iban", lambda: F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") * 104729).cast("string"), 18, "0")), """
 WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 104729 AS VARCHAR), 18, '0') || '1314' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') AS c FROM orders) SELECT o_orderkey, CAST(c AS HUGEINT) % 97 = 1 AS ok FROM n""")
-_ident("issn", F.lpad((F.col("o_orderkey") * 13).cast("string"), 8, "0"), """
+_ident("issn", lambda: F.lpad((F.col("o_orderkey") * 13).cast("string"), 8, "0"), """
 WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 13 AS VARCHAR), 8, '0') AS c FROM orders) SELECT o_orderkey, list_sum(list_transform(generate_series(1, 8), lambda i: CAST(c[i] AS INT) * (9 - i))) % 11 = 0 AS ok FROM n""")
 

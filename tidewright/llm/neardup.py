@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import maybe_broadcast, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
       worked off by rounds of pivots.
     """
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    member = table(buckets.join(_shared(buckets), "bucket"), "members")
+    member = table(buckets.join(maybe_broadcast(table(_shared(buckets), "shared")), "bucket"), "members")
     sets = table(sets_of(member.select("node").distinct()).withColumn("size", F.size("items")), "sets")
     company = member.groupBy("node").agg(F.sum("n").alias("company"))
     pivot = member.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("pivot"))
@@ -99,8 +99,8 @@ def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
-    """The buckets of at least two nodes, with the number of their members."""
-    return buckets.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("n")).where("p < q").select("bucket", "n")
+    """The buckets of at least two members, with their number."""
+    return buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def _mixed(member: DataFrame, comps: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, table
+from .common import BROADCAST_ROWS, maybe_broadcast, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,7 +131,14 @@ def _more(links: DataFrame | None, comps: DataFrame | None, near: DataFrame, per
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) with the sizes of their sets (size_a, size_b) and of what they share (both)."""
+    """The distinct pairs (a, b) with the sizes of their sets (size_a, size_b) and of what they share (both).
+
+    Sets are shuffled only where they are in a pair, unless the nodes in pairs are too many to be broadcast.
+    """
+    pairs = table(pairs.distinct(), "pairs")
+    nodes = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    if nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"), F.col("size").alias("size_a"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"), F.col("size").alias("size_b"))
-    return pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("both"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("both"))

@@ -64,7 +64,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def _joined(docs: DataFrame, min_docs: int):
-    cuts = table(_cut_table(docs, min_docs), "cuts")  # it grows with the texts, so it is joined by shuffle
+    cuts = table(_cut_table(docs, min_docs), "cuts").hint("merge")  # it grows with the texts, so it is joined by shuffle at every size
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("__row_hash")), "left")
     joined = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(docs["text"], "\n", -1)))  # a column, so that no lambda splits anew
     parts = F.col("__parts")

@@ -35,6 +35,14 @@ def test_every_identifier_runs_and_refuses_nonsense(spark):
     assert [n for n in identifiers.IDENTIFIERS if row[n]] == []
 
 
+def test_identifiers_with_birth_dates(spark):
+    given = {"mx_curp": [("BOXW310820HNERXN09", True), ("BOXW310820HNERXN08", False), ("BOXW311320HNERXN09", False)],
+             "it_codicefiscale": [("RCCMNL83S18D969H", True), ("RCCMNL 83S18 D969H", True), ("RCCMNL83S18D969", False), ("RCCMNL83S18D969G", False), ("00743110157", True), ("00743110158", False)]}
+    for name, cases in given.items():
+        df = spark.createDataFrame(cases, "x string, want boolean").select("want", identifiers.validate(name, F.col("x")).alias("got"))
+        assert [r.got for r in df.collect()] == [want for _, want in cases], name
+
+
 def test_text_steps(spark):
     def run(given, op, /, **params):
         df = spark.createDataFrame([(given,)], "t string")

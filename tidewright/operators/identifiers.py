@@ -207,6 +207,34 @@ def _imo(c: Column) -> Column:
 _BSN = lambda c: K.weighted(c, [9, 8, 7, 6, 5, 4, 3, 2, -1]) % 11 == 0
 _NO = _comp([3, 2, 7, 6, 5, 4, 3, 2])
 _RC = r" ./-"
+#: The alphabet of the Mexican check digit, the Mexican states, the Italian month letters, the digits' stand-ins and the values of characters in odd places.
+CURP_ALPHABET = "0123456789ABCDEFGHIJKLMNÑOPQRSTUVWXYZ"
+CURP_STATES = "AS BC BS CC CH CL CM CS DF DG GR GT HG JC MC MN MS NE NL NT OC PL QR QT SL SP SR TC TL TS VZ YN ZS"
+FISCAL_MONTHS, FISCAL_DIGITS = "ABCDEHLMPRST", "LMNPQRSTUV"
+FISCAL_ODD = [1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]
+
+
+def _mx_curp(c: Column) -> Column:
+    """A birth date (a digit in place 17 means before 2000), a state, and weights 18 to 2 modulo 10."""
+    year = F.concat(F.when(F.substring(c, 17, 1).rlike(r"\d"), "19").otherwise("20"), F.substring(c, 5, 2))
+    born = K.date(year, F.substring(c, 7, 2), F.substring(c, 9, 2)).isNotNull()
+    return born & F.substring(c, 12, 2).isin(CURP_STATES.split()) & ((10 - K.weighted(c, list(range(18, 1, -1)), CURP_ALPHABET) % 10) % 10 == K.digit(c, 18))
+
+
+def _it_codicefiscale(c: Column) -> Column:
+    """Eleven digits as a VAT number; else a birth date (day plus 40 for women) and a letter from odd and even places modulo 26."""
+    plain = F.translate(F.concat(F.substring(c, 7, 2), F.substring(c, 10, 2)), FISCAL_DIGITS, "0123456789")
+    yy, day = F.substring(plain, 1, 2).cast("int"), F.substring(plain, 3, 2).cast("int")
+    day = F.when(day > 40, day - 40).otherwise(day)
+    born = K.date(F.when(yy < 20, 2000 + yy).otherwise(1900 + yy), F.instr(F.lit(FISCAL_MONTHS), F.substring(c, 9, 1)), day).isNotNull()
+    odd = F.array(*[F.lit(x) for x in FISCAL_ODD])
+    place = lambda k: F.when(F.substring(c, k, 1).rlike(r"\d"), F.substring(c, k, 1).try_cast("int")).otherwise(F.ascii(F.substring(c, k, 1)) - 65)
+    total = F.lit(0)
+    for k in range(1, 16):
+        total = total + (F.get(odd, place(k)) if k % 2 else place(k))
+    return F.when(F.char_length(c) == 11, K.luhn(c)).otherwise(born & (total % 26 == F.ascii(F.substring(c, 16, 1)) - 65))
+
+
 _SEP = r" \-./"
 
 #: The registry, by name.
@@ -345,6 +373,8 @@ def _nit(c: Column) -> Column:
     return F.substring(F.lit("01987654321"), (total % 11 + 1).cast("int"), F.lit(1)) == F.right(c, F.lit(1))
 
 
+IDENTIFIERS["it_codicefiscale"] = Identifier(r" \-:", r"[A-Z]{6}[0-9LMNPQRSTUV]{2}[ABCDEHLMPRST][0-9LMNPQRSTUV]{2}[A-Z][0-9LMNPQRSTUV]{3}[A-Z]|\d{11}", _it_codicefiscale)
+IDENTIFIERS["mx_curp"] = Identifier(r" \-", r"[A-Z]{4}\d{6}[HM][A-Z]{5}[0-9A-Z]\d", _mx_curp)
 IDENTIFIERS["co_nit"] = Identifier(_SEP, r"\d{8,16}", _nit)
 
 

@@ -76,6 +76,19 @@ def test_rows_of_one_id_tie_their_texts(spark):
     assert got == {(5, 2), (2, 2), (9, 2), (7, 7)}
 
 
+def test_near_dedup_stage_links_from_80_percent_on(spark):
+    import corpus_pipeline
+
+    rows = [(1000 + k, prose(60)) for k in range(10)]
+    for k in range(20):  # one word changed of 54 to 60: Jaccard 45 / 55 to 51 / 61
+        w = prose(54 + k % 7).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:25], f"edit{k}", *w[26:]]))]
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect())
+    want = components(rows, 80)
+    assert got == sorted(i for i in want if want[i] == i) and len(got) == 30
+    assert len(set(components(rows, 85).values())) == 50 == minhash.keep_one(frame(spark, rows)).count()
+
+
 def test_circulant_signatures_estimate_jaccard():
     a, b = prose(400).split(), prose(400).split()
     texts = [" ".join(a).encode(), " ".join(a[:300] + b[300:]).encode()]

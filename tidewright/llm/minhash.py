@@ -2,7 +2,8 @@
 
 A document's set holds the distinct runs of five lower-cased words. Two permutations give all signature coordinates: one scatters the set, the other is
 shifted around by one place for each coordinate. 24 bands of 6 coordinates propose pairs: a pair at the link threshold of 0.85 is missed by all bands
-with a chance of about 1e-5, one at 0.9 with 1e-8. Full sets decide.
+with a chance of about 1e-5, one at 0.9 with 1e-8. For lower thresholds 30 bands of 5 propose: a pair at 0.8 is missed with a chance of about 7e-6. Full
+sets decide.
 
 Defined cases: null and empty texts, and texts of white space, have empty sets and link with nothing. A row with a null doc_id links with nothing, has a
 null component_id and is kept. Rows that share a doc_id are one document: they get one component. Equal rows get equal results, one for each row.
@@ -11,6 +12,7 @@ null component_id and is kept. Rows that share a doc_id are one document: they g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +23,12 @@ from .common import maybe_broadcast, small_batches, table, text_of
 from .neardup import components, link
 
 COORDINATES, BANDS, WIDTH, PERCENT = 144, 24, 5, 85
+#: Coordinates and bands for thresholds below PERCENT.
+LOOSE = 150, 30
 
 
-def _sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    circulant = X.Circulant(COORDINATES, BANDS)
+def _sketch(parts: Iterator[pa.RecordBatch], coordinates: int, bands: int) -> Iterator[pa.RecordBatch]:
+    circulant = X.Circulant(coordinates, bands)
     for part in parts:
         texts = part.column(1).to_pylist()
         for a, b in X.batches(texts):
@@ -41,15 +45,17 @@ def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), items], names=["node", "items"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest (of the set; null if empty) and bands of each row, in one pass over the texts."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    coordinates, bands = (COORDINATES, BANDS) if percent >= PERCENT else LOOSE
+    sketch = partial(_sketch, coordinates=coordinates, bands=bands)
+    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    seen = table(sketches(docs), "sketches")
+    seen = table(sketches(docs, percent), "sketches")
     known = seen.where("doc_id is not null and digest is not null")
     classes = table(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "classes")
 

@@ -132,6 +132,12 @@ def test_lines_of_recurring_templates_go_but_for_the_first(spark):
     assert sum(r.n_dropped for r in counts) == 20
 
 
+def test_lines_of_repeated_rows_count_once(spark):
+    rows = [(i, f"Posted by user number {i} on our board\nOne of the " + " ".join(chr(97 + i) + c for c in "vwxyz")) for i in range(12)]
+    got = sorted((r.doc_id, r.text) for r in lines.dedup_lines(frame(spark, rows * 2)).collect())
+    assert got == sorted((i, t if i == 0 else t.split("\n")[1]) for i, t in rows * 2)
+
+
 def test_licences_against_brute_force_and_inheritance(spark):
     idf, vectors = licences.weights(licences.TEMPLATES)
     unknown = 1 + math.log(1 + len(licences.TEMPLATES))

@@ -36,7 +36,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     rows = _lines(docs)
     per_doc = rows.select("leaf", *KEYS).distinct()
     leaves = maybe_broadcast(table(per_doc.groupBy("leaf").agg(F.count("*").alias("docs")).where(f"docs >= {min_docs}").select("leaf"), "leaves"))
-    hot = table(rows.join(leaves, "leaf"), "hot-lines")
+    hot = table(rows.join(leaves, "leaf").dropDuplicates([*KEYS, "line"]), "hot-lines")  # of equal rows one counts
     token = F.when(F.col("raw").rlike(r"\d"), F.lit(None)).otherwise(F.col("raw"))
     spread = hot.select(*KEYS, "line", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "raw")).withColumn("token", token)
     often = spread.where("token is not null").groupBy("leaf", "place", "token").agg(F.count("*").alias("seen")).where(f"seen >= {min_docs}").withColumn("seen", F.lit(1))

@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates are cut, but for their first occurrence."""
-    return dedup_lines(docs)
+    """Lines of recurring templates, of any length, are cut, but for their first occurrence."""
+    return dedup_lines(docs, min_tokens=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,6 +138,17 @@ def test_lines_of_repeated_rows_count_once(spark):
     assert got == sorted((i, t if i == 0 else t.split("\n")[1]) for i, t in rows * 2)
 
 
+def test_short_lines_go_in_the_query_and_the_stage(spark, tmp_path):
+    import corpus_pipeline
+    from tidewright.llm.queries import QUERIES
+
+    rows = [(i, f"own{chr(97 + i)}\nLes.\nOf, edti oner.\n{i}\n\nAll rights reserved now.") for i in range(12)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted((r.doc_id, r.n_dropped) for r in QUERIES["op3_lines"](spark, str(tmp_path)).collect()) == [(i, 3 if i else 0) for i in range(12)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()}
+    assert got == {i: f"own{chr(97 + i)}\n{i}\n" if i else t for i, t in rows}
+
+
 def test_licences_against_brute_force_and_inheritance(spark):
     idf, vectors = licences.weights(licences.TEMPLATES)
     unknown = 1 + math.log(1 + len(licences.TEMPLATES))

@@ -7,7 +7,8 @@ but for the first, by doc_id and place, so that nothing vanishes altogether.
 
 All steps are counts by key with partial sums; only the leaves, tokens and templates that recur are joined back.
 
-Defined cases: null and empty texts have no lines. Lines of fewer than MIN_TOKENS tokens are left alone. Rows that share doc_id and text are one document
+Defined cases: null and empty texts have no lines. Lines of fewer than min_tokens tokens are left alone: MIN_TOKENS
+by default, none in op3_lines and the pipeline, which ask for 1; a leaf of fewer than DEPTH tokens is all of them. Rows that share doc_id and text are one document
 and are cut alike; a null doc_id is a value of its own and comes first in order.
 """
 
@@ -22,18 +23,18 @@ DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 5, 10, 0.7
 KEYS = ["doc_id", "row_hash"]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("row_hash"), F.posexplode(F.split(text_of(), "\n", -1)).alias("line", "content"))
     spaced = F.replace(F.replace(F.col("content"), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     tokens = F.array_remove(F.split(spaced, " "), "")
-    rows = rows.select(*KEYS, "line", tokens.alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    rows = rows.select(*KEYS, "line", tokens.alias("tokens")).where(F.size("tokens") >= min_tokens)
     field = lambda t: F.when(t.rlike(r"\d"), F.lit("<*>")).otherwise(t)
     return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.transform(F.slice("tokens", 1, DEPTH), field)))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, row_hash, line) of every line that goes, and its template's key."""
-    rows = _lines(docs)
+    rows = _lines(docs, min_tokens)
     per_doc = rows.select("leaf", *KEYS).distinct()
     leaves = maybe_broadcast(table(per_doc.groupBy("leaf").agg(F.count("*").alias("docs")).where(f"docs >= {min_docs}").select("leaf"), "leaves"))
     hot = table(rows.join(leaves, "leaf").dropDuplicates([*KEYS, "line"]), "hot-lines")  # of equal rows one counts
@@ -52,19 +53,19 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return out.select(*KEYS, "line", F.xxhash64("template").alias("template"))
 
 
-def _cut_table(docs: DataFrame, min_docs: int) -> DataFrame:
-    gone = dropped_lines(docs, min_docs).groupBy(*KEYS).agg(F.collect_set("line").alias("__gone"))  # as many at most as the one document has lines
+def _cut_table(docs: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
+    gone = dropped_lines(docs, min_docs, min_tokens).groupBy(*KEYS).agg(F.collect_set("line").alias("__gone"))  # as many at most as the one document has lines
     return gone.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__row_hash"), "__gone")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs with recurring lines cut from text; all columns and rows stay."""
-    joined, new_text, _ = _joined(docs, min_docs)
+    joined, new_text, _ = _joined(docs, min_docs, min_tokens)
     return joined.select(*(new_text.alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 
-def _joined(docs: DataFrame, min_docs: int):
-    cuts = table(_cut_table(docs, min_docs), "cuts").hint("merge")  # it grows with the texts, so it is joined by shuffle at every size
+def _joined(docs: DataFrame, min_docs: int, min_tokens: int):
+    cuts = table(_cut_table(docs, min_docs, min_tokens), "cuts").hint("merge")  # it grows with the texts, so it is joined by shuffle at every size
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("__row_hash")), "left")
     joined = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(docs["text"], "\n", -1)))  # a column, so that no lambda splits anew
     parts = F.col("__parts")
@@ -73,8 +74,8 @@ def _joined(docs: DataFrame, min_docs: int):
     return joined, new_text, F.coalesce(F.size("__gone"), F.lit(0))
 
 
-def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, n_lines, n_dropped and text_sha256 (of what stays) for every row of docs."""
-    joined, new_text, gone = _joined(docs, min_docs)
+    joined, new_text, gone = _joined(docs, min_docs, min_tokens)
     lines = F.when(F.coalesce(docs["text"], F.lit("")) == "", 0).otherwise(F.size(F.split(docs["text"], "\n", -1))).cast("long")
     return joined.select(docs["doc_id"], lines.alias("n_lines"), F.greatest(gone, F.lit(0)).cast("long").alias("n_dropped"), F.sha2(text_of(new_text), 256).alias("text_sha256"))

@@ -34,7 +34,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(read(spark, sf_dir, "documents"))
+    return deduplicated(read(spark, sf_dir, "documents"), min_tokens=1)
 
 
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

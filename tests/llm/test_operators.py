@@ -138,6 +138,13 @@ def test_lines_of_repeated_rows_count_once(spark):
     assert got == sorted((i, t if i == 0 else t.split("\n")[1]) for i, t in rows * 2)
 
 
+def test_lines_of_half_variable_tokens_go_and_those_of_fewer_constant_ones_stay(spark):
+    tail = lambda i: " ".join(chr(97 + i) + c for c in "vwxy")
+    rows = [(i, f"Posted by u{i} on 2020-01-{i + 10}\nPage {i} of {i + 9} in total\nOne of the {tail(i)}\n{tail(i)} | x | y") for i in range(12)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: "\n".join(t.split("\n")[2:]) if i else t for i, t in rows}
+
+
 def test_short_lines_go_in_the_query_and_the_stage(spark, tmp_path):
     import corpus_pipeline
     from tidewright.llm.queries import QUERIES

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, table, text_of
 
-DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 5, 10, 0.7
+DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 5, 10, 0.5
 KEYS = ["doc_id", "row_hash"]
 
 

@@ -8,9 +8,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of at most two longs that may be broadcast: 16 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: What a table may weigh to be broadcast, by weight(): its values and 24 bytes a row for the hash table over them.
+BROADCAST_BYTES = 32 << 20
 #: Arrow batches stay this small in rows and bytes, so that very long texts don't pile up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
@@ -18,9 +19,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where that is unset and all runs here (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,11 +44,15 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone; then the cluster's own cleaning takes the folder
             return
 
@@ -54,12 +61,58 @@ def table(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts lineage, outlives executors, and has a known size."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes written tables that nothing reads any more, before the driver ends."""
+    for t in tables:
+        path = getattr(t, "_written_path", None)
+        if path is not None:
+            _delete(t.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]
+
+
+def drop_since(mark: int) -> None:
+    """Removes all tables written since mark, a former result of written()."""
+    for spark, path in _written[mark:]:
+        _delete(spark, path)
+    del _written[mark:]
+
+
+def written() -> int:
+    return len(_written)
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(0), lambda acc, x: acc + _bytes(x, kind.elementType).cast("int")), F.lit(0)) + 24
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 24
+    return F.lit(8)
+
+
+def weight(df: DataFrame) -> int:
+    """About the bytes that df takes as the hash table of a broadcast join; one aggregate."""
+    each = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24))
+    return df.agg(F.sum(each.cast("long"))).first()[0] or 0
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether df, whose size is measured first, may be broadcast."""
+    return weight(df) <= BROADCAST_BYTES
 
 
-def maybe_broadcast(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are few enough; otherwise as it is, to be joined by shuffle."""
-    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+def maybe_broadcast(written: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its measured bytes are few enough; otherwise as it is, to be joined by shuffle."""
+    return F.broadcast(written) if fits(written) else written
 
 
 def text_of(col: str | Column = "text") -> Column:

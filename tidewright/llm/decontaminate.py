@@ -5,7 +5,8 @@ not none, is one window. A word of a document inside any occurrence of a window
 
 Defined cases: null and empty texts have no words and no hits. Items without words or with a null item_id take no part. Rows that repeat an item_id are
 one item. A row of documents is known by its doc_id (null is a value of its own) and its text, so repeated rows get equal results, one for each row.
-The set is broadcast only if its counted rows stay under a bound; beyond that the windows are joined by shuffle.
+The set is broadcast only if its measured bytes stay under a bound; beyond that the hashes of windows, without their texts, are joined by shuffle, and
+only the texts that a hash was found in are looked at again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, maybe_broadcast, same_row, table, text_of
+from .common import fits, maybe_broadcast, same_row, table, text_of
 
 WINDOW, ITEMS = 8, 2
 #: Stands for a row as a whole among the hashes of its windows.
@@ -51,32 +52,46 @@ def hits(docs: DataFrame, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams: the written result of windows(). Before a row's windows goes a mark that the set holds too, so that each row passes the join once.
     """
     lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most WINDOW numbers
-    wanted = grams.select("gram_hash", "length", "gram").dropDuplicates(["gram_hash", "gram"])
+    wanted = table(grams.select("gram_hash", "length", "gram").dropDuplicates(["gram_hash", "gram"]), "grams")
     scanned = docs.select("doc_id", F.xxhash64(text_of()).alias("row_hash"), words(text_of()).alias("words"))
-    if wanted.count() > BROADCAST_ROWS or not lengths:
-        counted = table(scanned.select(*KEYS, F.size("words").cast("long").alias("n_words")), "word-counts")
-    else:
-        counted = None
+    if not lengths or not fits(wanted):
+        return _hits_by_shuffle(scanned, wanted, lengths), table(scanned.select(*KEYS, F.size("words").cast("long").alias("n_words")), "word-counts")
     scanned = scanned.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
     found: DataFrame | None = None
     for k, n in enumerate(lengths):
-        spots = F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.xxhash64(F.slice("hashes", i, n)))).otherwise(F.array().cast("array<long>"))
         of_n = wanted.where(F.col("length") == n).select("gram_hash", "gram")
-        if counted is None and k == 0:
+        if k == 0:
             of_n = of_n.union(docs.sparkSession.range(1).select(F.lit(MARK), F.lit(None).cast("array<string>")))
         of_n = table(of_n, "grams")
-        seen = scanned.select(*KEYS, "words", F.posexplode(F.concat(F.array(F.lit(MARK)), spots)).alias("at", "gram_hash"))
+        seen = scanned.select(*KEYS, "words", F.posexplode(F.concat(F.array(F.lit(MARK)), _spots(n))).alias("at", "gram_hash"))
         same = F.when(F.col("gram").isNull(), F.col("at") == 0).otherwise((F.col("at") > 0) & (F.slice("words", F.greatest("at", F.lit(1)), n) == F.col("gram")))
-        sure = seen.join(maybe_broadcast(of_n), "gram_hash").where(same)
+        sure = seen.join(F.broadcast(of_n), "gram_hash").where(same)  # of_n is a part of what fits
         sure = sure.select(*KEYS, (F.col("at") - 1).alias("start"), F.lit(n).alias("length"), "gram_hash", "gram", F.when(F.col("gram").isNull(), F.size("words")).cast("long").alias("n_words"))
         found = sure if found is None else found.union(sure)
-    if found is None:
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        found = docs.sparkSession.createDataFrame([], f"doc_id {kind}, row_hash long, start int, length int, gram_hash long, gram array<string>, n_words long")
     found = table(found, "hits")
-    if counted is None:
-        counted = found.where("gram is null").select(*KEYS, "n_words")
-    return found.where("gram is not null").drop("n_words"), counted
+    return found.where("gram is not null").drop("n_words"), found.where("gram is null").select(*KEYS, "n_words")
+
+
+def _spots(n: int) -> Column:
+    """The hashes of all windows of n words of `words`, made of those in `hashes`."""
+    spots = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.xxhash64(F.slice("hashes", i, n)))
+    return F.when(F.size("words") >= n, spots).otherwise(F.array().cast("array<long>"))
+
+
+def _hits_by_shuffle(scanned: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
+    """The hits of hits() for a set too large to be broadcast."""
+    hashed = scanned.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
+    spots: DataFrame | None = None
+    for n in lengths:
+        of_n = hashed.select(*KEYS, F.posexplode(_spots(n)).alias("start", "gram_hash"), F.lit(n).alias("length"))
+        spots = of_n if spots is None else spots.union(of_n)
+    if spots is None:
+        spots = hashed.select(*KEYS, F.lit(0).alias("start"), F.lit(0).cast("long").alias("gram_hash"), F.lit(0).alias("length")).limit(0)
+    may = spots.distinct().join(wanted.select("gram_hash", "length").distinct(), ["gram_hash", "length"], "left_semi")
+    may = table(may.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "length", "gram_hash")).alias("may")).withColumnsRenamed({k: f"k_{k}" for k in KEYS}), "candidates")  # as many at most as the one document has words
+    looked = scanned.join(maybe_broadcast(may), scanned["doc_id"].eqNullSafe(F.col("k_doc_id")) & (F.col("row_hash") == F.col("k_row_hash")))
+    looked = looked.select(*KEYS, "words", F.explode("may").alias("m")).select(*KEYS, "m.*", F.slice("words", F.col("m.start") + 1, F.col("m.length")).alias("gram"))
+    return table(looked.join(wanted.select("gram_hash", "gram"), ["gram_hash", "gram"]).select(*KEYS, "start", "length", "gram_hash", "gram"), "hits")
 
 
 def hit_words(found: DataFrame) -> DataFrame:
@@ -107,7 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
     items = found.select(*KEYS, "gram_hash", "gram").distinct().join(of, ["gram_hash", "gram"]).select(*KEYS, "item_id").distinct().groupBy(*KEYS).agg(F.count("*").alias("__n_items"))
     places = hit_words(found).groupBy(*KEYS).agg(F.collect_list("word").alias("__hit"))  # as many at most as the one document has words
     told = table(items.join(places, same_row(items, places, KEYS)).select(items["doc_id"].alias("__doc_id"), items["row_hash"].alias("__row_hash"), "__n_items", "__hit"), "cuts")
-    told = maybe_broadcast(told, 100_000)
+    told = maybe_broadcast(told)
     joined = docs.join(told, docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("__row_hash")), "left").where(F.coalesce("__n_items", F.lit(0)) < least_items)
     text = F.when(F.col("__hit").isNotNull(), text_of(docs["text"]))
     joined = joined.withColumns({"__own": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), "__between": F.split(text, WORD, -1)})  # columns, so that no lambda computes them anew

@@ -111,15 +111,15 @@ def scan(files: DataFrame, is_licence_file: Column, templates: dict[str, str] =
     file_key must tell texts apart; is_licence_file says of a row whether its licence holds for its directory.
     """
     own = table(line_matches(files, templates, threshold).withColumnRenamed("file_key", "own_key"), "licences")
-    rows = files.join(maybe_broadcast(own, 200_000), F.col("file_key").eqNullSafe(F.col("own_key")), "left").drop("own_key")
+    rows = files.join(maybe_broadcast(own), F.col("file_key").eqNullSafe(F.col("own_key")), "left").drop("own_key")
     has = F.col("licence").isNotNull()
     given = rows.where(has & is_licence_file & F.col("path").isNotNull()).select(F.element_at(ancestors(F.col("path")), 1).alias("dir"), F.struct((-F.col("cosine")).alias("less"), F.col("path").alias("from"), F.col("licence").alias("of")).alias("g"))
-    given = maybe_broadcast(table(given.groupBy("dir").agg(F.min("g").alias("g")), "directories"), 200_000)
+    given = maybe_broadcast(table(given.groupBy("dir").agg(F.min("g").alias("g")), "directories"))
     needy = rows.where(~has & F.col("path").isNotNull()).select("path").distinct().select("path", F.posexplode(ancestors(F.col("path"))).alias("up", "dir"))
     near = needy.join(given, "dir").groupBy("path").agg(F.min(F.struct("up", "g")).alias("near"))
     near = near.select(F.col("path").alias("near_path"), F.col("near.g.of").alias("near_licence"), (-F.col("near.g.less")).alias("near_cosine"), F.col("near.g.from").alias("inherited_from"))
     near = table(near, "inherited")
-    out = rows.join(maybe_broadcast(near, 100_000), ~has & (F.col("path") == F.col("near_path")), "left")
+    out = rows.join(maybe_broadcast(near), ~has & (F.col("path") == F.col("near_path")), "left")
     source = F.when(has, "own").when(F.col("near_licence").isNotNull(), "inherited")
     return out.select(*[c for c in files.columns if c != "text"], F.coalesce("licence", "near_licence").alias("licence"), F.coalesce("cosine", "near_cosine").alias("cosine"), source.alias("licence_source"), "inherited_from")
 

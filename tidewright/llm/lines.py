@@ -41,7 +41,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     token = F.when(F.col("raw").rlike(r"\d"), F.lit(None)).otherwise(F.col("raw"))
     spread = hot.select(*KEYS, "line", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "raw")).withColumn("token", token)
     often = spread.where("token is not null").groupBy("leaf", "place", "token").agg(F.count("*").alias("seen")).where(f"seen >= {min_docs}").withColumn("seen", F.lit(1))
-    marked = spread.join(maybe_broadcast(table(often, "constant-tokens"), 200_000), ["leaf", "place", "token"], "left")
+    marked = spread.join(maybe_broadcast(table(often, "constant-tokens")), ["leaf", "place", "token"], "left")
     part = F.when(F.col("seen") == 1, F.xxhash64("leaf", "place", "token"))
     part2 = F.when(F.col("seen") == 1, F.hash("token", "place", "leaf").cast("long") * 0x9E3779B1)
     made = marked.groupBy(*KEYS, "line", "leaf", "n").agg(F.bit_xor(part).alias("x"), F.bit_xor(part2).alias("y"), F.count("seen").alias("constant"))
@@ -49,7 +49,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     per_doc = made.select("template", *KEYS).distinct().groupBy("template").agg(F.count("*").alias("docs")).where(f"docs >= {min_docs}").select("template")
     first = made.groupBy("template").agg(F.min(F.struct(*KEYS, "line")).alias("first"))
     recurring = per_doc.join(first, "template")
-    out = made.join(maybe_broadcast(table(recurring, "recurring"), 200_000), "template").where(~F.struct(*KEYS, "line").eqNullSafe(F.col("first")))
+    out = made.join(maybe_broadcast(table(recurring, "recurring")), "template").where(~F.struct(*KEYS, "line").eqNullSafe(F.col("first")))
     return out.select(*KEYS, "line", F.xxhash64("template").alias("template"))
 
 

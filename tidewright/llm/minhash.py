@@ -34,6 +34,7 @@ def _sketch(parts: Iterator[pa.RecordBatch], coordinates: int, bands: int) -> It
         for a, b in X.batches(texts):
             s = X.shingle_sets(X.words(texts[a:b]), WIDTH)
             yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(s.sizes, pa.int64()), pa.array(X.digests(s), pa.binary()), pa.array(circulant.band_keys(s), pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+    X.tidy()
 
 
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,6 +44,7 @@ def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = X.shingle_sets(X.words(texts[a:b]), WIDTH)
             items = pa.ListArray.from_arrays(pa.array(s.first, pa.int32()), pa.array(s.items.view("int64"), pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), items], names=["node", "items"])
+    X.tidy()
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

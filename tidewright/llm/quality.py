@@ -3,7 +3,7 @@
 Statistics of the whole text are computed once for each row (vectorised, Arrow). Shallow boosted trees over a bounded sample of labelled rows give paths;
 each path is a rule, a conjunction of threshold tests. A lasso logistic regression weighs the rules and drops most. The rest becomes one column expression.
 
-The fit uses at most SAMPLE labelled rows, those with the smallest xxhash64(doc_id); scores cover all rows. Label, language, source and id are no inputs.
+The fit uses at most SAMPLE labelled rows, those with the smallest xxhash64(doc_id), so documents that repeat a labelled doc_id count within it; scores cover all rows. Label, language, source and id are no inputs.
 
 Defined cases: null and empty texts have statistics of 0 and get a score like all others. Labels that are null or have no document are not used. Without
 usable labels all scores are 0.5; with labels of one class only, all are that class's smoothed share. Rows that repeat a doc_id each get their own score.
@@ -26,11 +26,15 @@ SAMPLE, TREES, DEPTH, RATE, BINS, PENALTY = 20_000, 40, 3, 0.2, 32, 2e-3
 STATS = ("log_bytes", "log_words", "word_length", "upper", "digits", "stops", "symbols", "shouts", "bars", "spaces", "lines", "non_ascii", "distinct", "again", "top_word", "distinct_threes")
 _KIND = T.StructType([T.StructField(s, T.DoubleType()) for s in STATS])
 
-_CLASS = np.zeros(256, np.intp)  # 1 upper, 2 lower, 3 digit, 4 stops, 5 symbols, 6 !, 7 |, 8 space, 9 newline, 10 beyond ASCII
+_CLASS = np.zeros(256, np.uint8)  # 1 upper, 2 lower, 3 digit, 4 stops, 5 symbols, 6 !, 7 |, 8 space, 9 newline, 10 beyond ASCII
 for _k, _bytes in enumerate((b"", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:?'\"-()", b"#$%&*+/<=>@[\\]^_`{}~", b"!", b"|", b" \t\r", b"\n", bytes(range(128, 256)))):
     _CLASS[list(_bytes)] = _k
 
 
+def _counts(kinds: np.ndarray) -> np.ndarray:
+    return sum((np.bincount(kinds[i : i + X.CHUNK], minlength=11) for i in range(0, len(kinds), X.CHUNK)), np.zeros(11, np.int64))
+
+
 def statistics(texts: list[bytes]) -> np.ndarray:
     """One row of STATS for each text."""
     out = np.zeros((len(texts), len(STATS)))
@@ -45,7 +49,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
             if n <= 0 or j <= i:
                 out[a + k, 0] = np.log1p(max(n, 0))
                 continue
-            c = np.bincount(kinds[w.offsets[k] : w.offsets[k] + n], minlength=11)
+            c = _counts(kinds[w.offsets[k] : w.offsets[k] + n])
             h, m = w.hashes[i:j], j - i
             _, counts = np.unique(h, return_counts=True)
             t = threes[i : max(i, j - 2)]
@@ -180,9 +184,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     small_batches(docs.sparkSession)
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
     drawn = table(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample), "labels")
-    rows = docs.select("doc_id", text_of().cast("binary").alias("text")).join(maybe_broadcast(drawn, sample), "doc_id").select("doc_id", "quality", text_statistics("text").alias("s"))
-    rows = rows.select("doc_id", "quality", "s.*").orderBy("doc_id", "quality", *STATS).limit(2 * sample)
-    got = rows.toPandas()
+    rows = docs.select("doc_id", text_of().cast("binary").alias("text")).join(maybe_broadcast(drawn), "doc_id").select("doc_id", "quality", text_statistics("text").alias("s"))
+    rows = rows.select("doc_id", "quality", "s.*").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *STATS).limit(sample)  # doc_ids may repeat
+    got = rows.toPandas().sort_values(["doc_id", "quality", *STATS])
     return fit(got[list(STATS)].to_numpy(float), got["quality"].to_numpy(float))
 
 
@@ -198,5 +202,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score of 0.5 or more."""
     model = trained(docs, labels)
-    rows = docs.withColumn("__s", text_statistics(text_of(docs["text"]).cast("binary")))
-    return rows.where(compiled(model, F.col("__s")) >= 0.5).select(*[rows[c] for c in docs.columns])
+    free = "s"
+    while free in docs.columns:
+        free += "_"
+    rows = docs.withColumn(free, text_statistics(text_of(docs["text"]).cast("binary")))
+    return rows.where(compiled(model, F.col(free)) >= 0.5).select(*docs.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
 from functools import cache
 from typing import NamedTuple
 
@@ -10,10 +12,10 @@ import numpy as np
 U = np.uint64
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)  # a random odd value for each byte
-_STEP = int(_rng.integers(1, 2**62)) * 4 + 3  # odd, so that it has an inverse modulo 2**64
+STEP = int(_rng.integers(1, 2**62)) * 4 + 3  # odd, so that it has an inverse modulo 2**64
 _COEF = _rng.integers(1, 2**63, 16, dtype=np.uint64) * U(2) + U(1)
-#: Bytes of text that are hashed at a time.
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at a time, and that the powers of a hash reach over.
+CHUNK, SLICE = 1 << 20, 1 << 17
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -26,11 +28,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _STEP and of its inverse, modulo 2**64, for 2**bits positions."""
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of STEP and of its inverse, modulo 2**64, for SLICE positions and a few more: as many for texts of any length."""
     out = []
-    for base in (_STEP, pow(_STEP, -1, 2**64)):
-        p = np.ones(1 << bits, np.uint64)
+    for base in (STEP, pow(STEP, -1, 2**64)):
+        p = np.ones(SLICE + 64, np.uint64)
         p[1:] = U(base)
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
@@ -62,19 +64,33 @@ class Words(NamedTuple):
 
 
 def words(texts: list[bytes], table: np.ndarray = WHITE) -> Words:
+    """The words of texts, a slice at a time; a word that reaches over slices is hashed piece by piece, so that no word or text needs longer powers."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
-    v = table[buf]
-    solid = v != 0
-    begin = solid.copy()
-    begin[1:] &= ~solid[:-1]
-    starts = np.flatnonzero(begin)
-    if len(starts):
-        up, down = _powers(max(16, int(len(buf)).bit_length()))
-        h = _mix(np.add.reduceat(v * up[: len(v)], starts) * down[starts])
-    else:
-        h = np.zeros(0, np.uint64)
+    up, down = powers()
+    begins, sums, open_at = [], [], None
+    for at in range(0, len(buf), SLICE):
+        v = table[buf[at : at + SLICE]]
+        solid = v != 0
+        begin = solid.copy()
+        begin[1:] &= ~solid[:-1]
+        s = np.flatnonzero(begin)
+        if not len(s):
+            open_at = None
+            continue
+        part = np.add.reduceat(v * up[: len(v)], s) * down[s]
+        if open_at is not None and s[0] == 0:  # the word that the last slice ended in goes on
+            sums[-1][-1] = U((int(sums[-1][-1]) + int(part[0]) * pow(STEP, at - open_at, 1 << 64)) % (1 << 64))
+            s, part = s[1:], part[1:]
+            if not len(s):
+                open_at = open_at if solid[-1] else None
+                continue
+        begins.append(s + at)
+        sums.append(part)
+        open_at = int(s[-1]) + at if solid[-1] else None
+    starts = np.concatenate(begins) if begins else np.zeros(0, np.int64)
+    h = _mix(np.concatenate(sums)) if sums else np.zeros(0, np.uint64)
     return Words(h, starts, np.searchsorted(starts, offsets), offsets)
 
 
@@ -109,30 +125,49 @@ class Sets(NamedTuple):
     sizes: np.ndarray
 
 
-def shingle_sets(w: Words, width: int = 5) -> Sets:
-    """The distinct runs of width words of each text; of a text of fewer words, the whole run; of one without, nothing."""
-    s = sequence_hash(w.hashes, width)
-    n_texts = len(w.first) - 1
-    parts, sizes = [], np.zeros(n_texts, np.int64)
-    first = w.first.tolist()
-    for k in range(n_texts):
-        a, b = first[k], first[k + 1]
+def _distinct(p: np.ndarray) -> np.ndarray:
+    p = np.sort(p)
+    if len(p) > 1:
+        keep = np.empty(len(p), bool)
+        keep[0] = True
+        np.not_equal(p[1:], p[:-1], out=keep[1:])
+        p = p[keep]
+    return p
+
+
+def range_sets(h: np.ndarray, low: np.ndarray, high: np.ndarray, width: int = 5) -> Sets:
+    """The distinct runs of width words of each range of word hashes; of a range of fewer words, the whole run; of an empty one, nothing."""
+    s = sequence_hash(h, width)
+    parts, sizes = [], np.zeros(len(low), np.int64)
+    for k, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
         if b - a >= width:
-            p = np.sort(s[a : b - width + 1])
-            if len(p) > 1:
-                keep = np.empty(len(p), bool)
-                keep[0] = True
-                np.not_equal(p[1:], p[:-1], out=keep[1:])
-                p = p[keep]
+            p = _distinct(s[a : b - width + 1])
         elif b > a:
-            p = _mix(np.array([(w.hashes[a:b] * _COEF[: b - a]).sum(dtype=np.uint64) + U(b - a)], np.uint64))
+            p = _mix(np.array([(h[a:b] * _COEF[: b - a]).sum(dtype=np.uint64) + U(b - a)], np.uint64))
         else:
             continue
         sizes[k] = len(p)
         parts.append(p)
-    at = np.zeros(n_texts + 1, np.int64)
+    return _sets(np.concatenate(parts) if parts else np.zeros(0, np.uint64), sizes)
+
+
+def _sets(items: np.ndarray, sizes: np.ndarray) -> Sets:
+    at = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=at[1:])
-    return Sets(np.concatenate(parts) if parts else np.zeros(0, np.uint64), at, sizes)
+    return Sets(items, at, sizes)
+
+
+def window_sets(h: np.ndarray, low: np.ndarray, length: int, width: int = 5) -> Sets:
+    """range_sets of ranges of one length, all at once."""
+    rows = np.sort(sequence_hash(h, width)[low[:, None] + np.arange(length - width + 1)], axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    return _sets(rows[new], new.sum(1))
+
+
+def shingle_sets(w: Words, width: int = 5) -> Sets:
+    """The distinct runs of width words of each text; of a text of fewer words, the whole run; of one without, nothing."""
+    return range_sets(w.hashes, w.first[:-1], w.first[1:], width)
 
 
 def _reduce(ufunc, values: np.ndarray, s: Sets) -> np.ndarray:
@@ -186,3 +221,12 @@ class Circulant:
         for i, k in enumerate(np.flatnonzero(s.sizes > 0).tolist()):
             out[k] = keys[i]
         return out
+
+
+def tidy() -> None:
+    """Gives freed memory of this worker back to the system; workers live on between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -169,7 +169,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
     equal = rows.where(f"octet_length(payload) >= {REVISIT} and page_id is not null").groupBy("key").agg(F.max("page_id").alias("held"), F.count("*").alias("n")).where("n > 1").select("key", "held")
-    rows = rows.join(maybe_broadcast(table(equal, "equal-payloads"), 200_000), "key", "left")
+    rows = rows.join(maybe_broadcast(table(equal, "equal-payloads")), "key", "left")
     rows = rows.select("page_id", "url", "payload", F.when(F.col("held") != F.col("page_id"), F.col("held")).alias("refers_to"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, maybe_broadcast, table
+from .common import drop, fits, maybe_broadcast, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,13 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
         hook = table(near, "hooks")
         hook_a, hook_b = hook.select("a", F.col("m").alias("x")), hook.select(F.col("a").alias("b"), F.col("m").alias("y"))
         left = edges.join(hook_a, "a").join(hook_b, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        step = hook.select("a", "m")
+        step, old_found = hook.select("a", "m"), found
         if found is None:
             found = step.select(F.col("a").alias("node"), F.col("m").alias("root"))
         else:
             found = found.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("m", "root").alias("root"))
-        found = table(found, "roots")
+        old, found = (old_found, hook, edges), table(found, "roots")
         edges = table(left, "edges")
+        drop(*old)
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     least = found.groupBy("root").agg(F.min("node").alias("comp"))
@@ -48,12 +49,15 @@ def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     sets_of(nodes) gives (node, items: array<long>, distinct) for a frame of nodes. Returns links (a, b) between different nodes that settle all
     components, and (node, comp) for the nodes in them. No pair that shares a bucket and could join two components goes unexamined:
 
-    - the pivot of a bucket, its member with the most company in all its buckets, is compared with all others;
-    - buckets of few members that aren't one component yet are compared in full;
-    - in larger ones, a pair (d, e) that is near shares at least q = p * (|d| + |e|) / (100 + p) - min(|d & B|, |e & B|) items outside the pivot B.
-      Where q can be below 1, d and e are compared at once. For the others the prefix principle holds: of the items outside B, in order of their
-      frequency, those of d and those of e have one in common among all but the last q - 1. These items are the buckets of what remains, which is
-      worked off by rounds of pivots.
+    1. The pivot of a bucket, its member with the most company in all its buckets, is compared with all others.
+    2. Buckets of at most `small` members that aren't one component yet are compared in full.
+    3. In larger ones, let B be the pivot's set and p the percentage. Two sets d and e are near only if they share at least
+       o = p * (|d| + |e|) / (100 + p) items. At most min(|d & B|, |e & B|) of these lie in B, so q = o - min(...) at least lie outside.
+       Where q can be below 1, d and e are compared at once (_inside). For the others the prefix principle holds: of the items outside B, ordered by how
+       often they occur among the pivot's members, rarest first, d and e have one in common among all but the last q - 1 of either. These items are the
+       buckets of what remains (_outside), which is worked off by rounds of pivots.
+    4. At the first item that d and e have in common, all other common ones come later in both orders. With cap the number of items from there on,
+       min(cap_d, cap_e) + min(|d & B|, |e & B|) >= o must hold; pairs for which it doesn't are left out (_possible).
     """
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     member = table(buckets.join(maybe_broadcast(table(_shared(buckets), "shared")), "bucket"), "members")
@@ -73,19 +77,9 @@ def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     least = many.groupBy("a").agg(F.min("size_b").alias("least"))
     need = F.ceil((F.col("size_b") + F.greatest("least", F.ceil(F.col("size_b") * percent / 100))) * percent / (100 + percent)) - F.col("both")
     many = many.join(least, "a").withColumn("need", F.greatest(need, F.lit(1))).withColumn("blunt", (need < 1) & ~_near(percent))
-    far = many.where("blunt").select("a", F.col("b").alias("d"), F.col("size_b").alias("size_d"), F.col("comp").alias("comp_d"), F.col("both").alias("both_d"))
-    blunt = far.join(many, "a").where(f"comp != comp_d and both_d * {100 + percent} >= {percent} * (size_d + size_b) and 100 * size_b >= {percent} * size_d and (least(both_d, both) + least(size_d - both_d, size_b - both)) * {100 + percent} >= {percent} * (size_d + size_b)")
-    pairs = pairs.union(blunt.select(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b")))
-    links, comps = _more(links, comps, compared(pairs, sets), percent)
-
-    of_a, of_b = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("node").alias("b"), "items")
-    outside = many.select("a", "b", "need").join(of_a, "a").join(of_b, "b").select("a", "b", F.array_except("items", "items_a").alias("rest"), "need")
-    outside = table(outside.select("a", "b", F.explode("rest").alias("item"), (F.size("rest") - F.col("need") + 1).alias("prefix")), "outside")
-    often = outside.groupBy("a", "item").agg(F.count("*").alias("often"))
-    ranked = outside.where("prefix > 0").join(often.where("often > 1"), ["a", "item"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("a", "b").orderBy("often", "item"))).where("k <= prefix and often > 1")
-    again = ranked.select(F.col("b").alias("node"), F.xxhash64("a", "item").alias("bucket"))
-    member = again.join(_shared(again), "bucket")
+    inside = _inside(many, percent)
+    links, comps = _more(links, comps, compared(pairs.union(inside), sets), percent)
+    member = _outside(many, sets)
     pivots = small
     while True:
         left = table(_mixed(member, comps), "left")
@@ -93,11 +87,34 @@ def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
             return links, comps
         first = left.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).where(f"k <= {pivots}").drop("k")
         first = table(first, "pivots")
-        links, comps = _more(links, comps, compared(_across(first, left), sets), percent)
-        member = left.select("bucket", "node", "n").join(first.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        links, comps = _more(links, comps, compared(_possible(first, left, percent), sets), percent)
+        member = left.drop("comp").join(first.select("bucket", "node"), ["bucket", "node"], "left_anti")
         pivots *= 4
 
 
+def _inside(many: DataFrame, percent: int) -> DataFrame:
+    """The pairs of members of one pivot that may be near without sharing anything outside it: they are few, as one set must be near the pivot's size."""
+    far = many.where("blunt").select("a", F.col("b").alias("d"), F.col("size_b").alias("size_d"), F.col("comp").alias("comp_d"), F.col("both").alias("both_d"))
+    enough = f"* {100 + percent} >= {percent} * (size_d + size_b)"
+    may = f"comp != comp_d and least(both_d, both) {enough} and 100 * size_b >= {percent} * size_d and (least(both_d, both) + least(size_d - both_d, size_b - both)) {enough}"
+    return far.join(many, "a").where(may).select(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b"))
+
+
+def _outside(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, node, n, size, both, cap): for each member of a pivot the rare items outside it that any near partner must share one of."""
+    of_a, of_b = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("node").alias("b"), "items")
+    outside = many.select("a", "b", "need", "both", F.col("size_b").alias("size")).join(of_a, "a").join(of_b, "b")
+    outside = outside.select("a", "b", "both", "size", F.array_except("items", "items_a").alias("rest"), "need")
+    outside = outside.select("a", "b", "both", "size", F.explode("rest").alias("item"), F.size("rest").alias("n_rest"), (F.size("rest") - F.col("need") + 1).alias("prefix"))
+    outside = table(outside, "outside")
+    often = outside.groupBy("a", "item").agg(F.count("*").alias("often"))
+    ranked = outside.where("prefix > 0").join(often.where("often > 1"), ["a", "item"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("a", "b").orderBy("often", "item"))).where("k <= prefix and often > 1")
+    again = ranked.select(F.col("b").alias("node"), F.xxhash64("a", "item").alias("bucket"), "size", "both", (F.col("n_rest") - F.col("k") + 1).alias("cap"))
+    again = table(again, "again")
+    return again.join(maybe_broadcast(table(_shared(again), "shared")), "bucket")
+
+
 def _shared(buckets: DataFrame) -> DataFrame:
     """The buckets of at least two members, with their number."""
     return buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -117,6 +134,14 @@ def _across(some: DataFrame, others: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("comp_x != comp_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _possible(some: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """The pairs of _across that sizes and the places of the shared item leave possible."""
+    of = lambda df, x: df.select("bucket", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "size", "both", "cap")])
+    sizes = f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)"
+    shares = f"(least(both_x, both_y) + least(cap_x, cap_y)) * {100 + percent} >= {percent} * (size_x + size_y)"
+    return of(some, "x").join(of(others, "y"), "bucket").where(f"comp_x != comp_y and {sizes} and {shares}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _near(percent: int):
     return F.col("both") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
 
@@ -137,7 +162,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     pairs = table(pairs.distinct(), "pairs")
     nodes = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    if nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(nodes):
         sets = sets.join(F.broadcast(nodes), "node", "left_semi")
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"), F.col("size").alias("size_a"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"), F.col("size").alias("size_b"))

@@ -1,13 +1,18 @@
-"""Substring dedup: paragraphs that repeat across documents, near ones by MinHash banding and exact Jaccard, embedded ones by content-defined passages.
+"""Substring dedup: paragraphs that repeat across documents, by MinHash banding, exact Jaccard and connected components.
 
-Two kinds of paragraph are looked at. A line of MIN_WORDS words or more is a paragraph by itself: its set of five-word shingles is banded (BANDS bands of
-ROWS rows: a pair at Jaccard 0.8 collides with a chance of 99.9 %), colliding paragraphs are joined and verified, and near ones clustered by connected
-components. A passage that sits inside longer lines is found by its PASSAGE-word windows: of each PASSAGE consecutive windows the one of the smallest hash
-is picked, so that two copies of 2 * PASSAGE or more words share a picked window wherever they stand; equal windows form a cluster.
+A text is laid out in paragraphs of two kinds. A layout paragraph is a line of MIN_WORDS words or more, or a run of shorter lines of as many in all; it is
+banded for high recall (BANDS bands of ROWS coordinates: a pair at Jaccard 0.8 collides with a chance of 99.8 %). A content-defined paragraph is a window
+of PASSAGE words: of each PASSAGE consecutive windows the one of the smallest hash is picked, so that two copies of a passage of 2 * PASSAGE - 1 words or
+more have a paragraph in common wherever they stand (W_BANDS bands of W_ROWS coordinates; two windows are near if they are equal but for a word or two
+at the ends). Paragraphs of either kind that share a bucket are joined and verified on their full sets of five-word shingles; near ones are clustered by
+connected components.
 
-In a cluster of several documents the copy of the smallest doc_id stays; in all other documents its words are removed.
+In a cluster over several documents the copy of the smallest doc_id stays. The paragraphs of a document that share one keeper are merged to runs, and a run
+is extended word by word to both sides as far as the keeper's text is the same (PASSAGE - 1 words at most: further ones hold another picked window). Runs
+that at most WIDTH edited words part are one. Runs of fewer than MIN_RUN words are left alone. The words of the others are removed.
 
-Defined cases: null and empty texts and null doc_ids have no paragraphs. Rows that share a doc_id are one document. Repeats within one document stay.
+Defined cases: null and empty texts and null doc_ids have no paragraphs. Rows that share a doc_id are one document, so what repeats among them stays, but
+each of its texts has its own spans; equal rows count once and are cut alike. Columns of docs other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -16,65 +21,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textsets as X
 from .common import maybe_broadcast, small_batches, table, text_of
 from .neardup import link
 
-MIN_WORDS, PASSAGE, WIDTH, PERCENT = 20, 25, 5, 80
-COORDINATES, BANDS = 60, 15
+MIN_WORDS, PASSAGE, WIDTH, PERCENT, MIN_RUN = 20, 25, 5, 80, 50
+BANDS, ROWS, W_BANDS, W_ROWS = 12, 4, 5, 3
+KEYS = ["doc_id", "row_hash"]
 
 
-def _lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The lines of MIN_WORDS words or more of each text, whose they are, and the number of the first and of the last but one word in the text."""
-    out, of, start, end = [], [], [], []
-    for k, t in enumerate(texts):
-        at = 0
-        for line in t.split(b"\n"):
-            n = len(line.split())
-            if n >= MIN_WORDS:
-                out.append(line)
-                of.append(k)
-                start.append(at)
-                end.append(at + n)
-            at += n
-    return out, np.array(of, np.int64), np.array(start, np.int64), np.array(end, np.int64)
+def layout(w: X.Words, newlines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of words of the layout paragraphs of joined texts; newlines: where lines, and so texts, end."""
+    edge = np.concatenate([[0], np.searchsorted(w.starts, newlines)])
+    low, n = edge[:-1], np.diff(edge)
+    short = (n > 0) & (n < MIN_WORDS)
+    new = np.ones(len(n), bool)
+    new[1:] = ~(short[1:] & short[:-1]) | np.isin(low[1:], w.first)  # a short line goes on where the line before is short and of the same text
+    begin = np.flatnonzero(new)
+    high = np.append(low[begin[1:]], edge[-1]) if len(begin) else begin
+    long_enough = high - low[begin] >= MIN_WORDS
+    return low[begin][long_enough], high[long_enough]
 
 
-def _names(s: X.Sets) -> list[int]:
-    """64 bits that stand for each set; of n different ones, two share them with a chance of n * n / 2**65."""
-    return [int.from_bytes(d[:8], "little", signed=True) for d in X.digests(s) if d is not None]
-
-
-def _line_sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    circulant = X.Circulant(COORDINATES, BANDS)
-    for part in parts:
-        texts, ids = part.column(1).to_pylist(), part.column(0)
-        for a, b in X.batches(texts):
-            lines, of, start, end = _lines(texts[a:b])
-            if lines:
-                s = X.shingle_sets(X.words(lines), WIDTH)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of + a)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(_names(s), pa.int64()), pa.array(circulant.band_keys(s), pa.list_(pa.int64()))], names=["doc_id", "start", "end", "node", "bands"])
-
-
-def _line_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        texts, wanted = part.column(0).to_pylist(), [set(w) for w in part.column(1).to_pylist()]
-        for a, b in X.batches(texts):
-            lines, of, _, _ = _lines(texts[a:b])
-            s = X.shingle_sets(X.words(lines), WIDTH)
-            d = _names(s)
-            keep = [k for k in range(len(lines)) if d[k] in wanted[a + int(of[k])]]
-            items = [s.items[s.first[k] : s.first[k + 1]].view(np.int64) for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([d[k] for k in keep], pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
-
-
-def picked_windows(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start words and hashes of the picked windows of PASSAGE words, over the joined word hashes of several texts (first: where each begins)."""
+def picked_windows(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Start words of the picked windows of PASSAGE words, over the joined word hashes of several texts (first: where each begins)."""
     w = X.sequence_hash(h, PASSAGE)
-    starts, hashes = [], []
+    starts = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         v = w[a : max(a, b - PASSAGE + 1)]
         if not len(v):
@@ -84,45 +60,131 @@ def picked_windows(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
         else:
             least = np.lib.stride_tricks.sliding_window_view(v, PASSAGE).argmin(1) + np.arange(len(v) - PASSAGE + 1)
             starts.append(a + np.unique(least))
-        hashes.append(w[starts[-1]])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (none, none.astype(np.uint64))
+    return np.concatenate(starts) if starts else np.zeros(0, np.int64)
+
+
+def _names(s: X.Sets) -> list[int]:
+    """64 bits that stand for each set; of n different ones, two share them with a chance of n * n / 2**65."""
+    return [int.from_bytes(d[:8], "little", signed=True) for d in X.digests(s) if d is not None]
 
 
-def _window_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paragraphs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of_layout, of_windows = X.Circulant(BANDS * ROWS, BANDS), X.Circulant(W_BANDS * W_ROWS, W_BANDS, seed=11)
+    for part in parts:
+        texts = part.column(2).to_pylist()
+        for a, b in X.batches(texts):
+            w = X.words(texts[a:b])
+            low, high = layout(w, np.flatnonzero(np.frombuffer(b"\n".join(texts[a:b]) + b"\n", np.uint8) == 10))
+            start = picked_windows(w.hashes, w.first)
+            for sketch, lo, hi, s in ((of_layout, low, high, X.range_sets(w.hashes, low, high, WIDTH)), (of_windows, start, start + PASSAGE, X.window_sets(w.hashes, start, PASSAGE, WIDTH))):
+                of = np.searchsorted(w.first, lo, side="right") - 1
+                from_text = w.first[of]
+                names = pa.array(_names(s), pa.int64())
+                bands = pa.array(sketch.band_keys(s), pa.list_(pa.int64()))
+                at = pa.array(of + a)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lo - from_text, pa.int32()), pa.array(hi - from_text, pa.int32()), names, bands], names=[*KEYS, "start", "end", "node", "bands"])
+    X.tidy()
+
+
+def _paragraph_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of wanted paragraphs (start, end, node) of texts."""
     for part in parts:
-        texts, ids = part.column(1).to_pylist(), part.column(0)
+        texts, wanted = part.column(0).to_pylist(), part.column(1).to_pylist()
         for a, b in X.batches(texts):
             w = X.words(texts[a:b])
-            start, h = picked_windows(w.hashes, w.first)
-            of = np.searchsorted(w.first, start, side="right") - 1
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of + a)), pa.array(start - w.first[of], pa.int32()), pa.array(h.view(np.int64), pa.int64())], names=["doc_id", "start", "window"])
+            asked = [(int(w.first[k]) + x["start"], int(w.first[k]) + x["end"], x["node"]) for k in range(b - a) for x in wanted[a + k]]
+            low, high, node = (np.array(c, np.int64) for c in zip(*asked, strict=True))
+            s = X.range_sets(w.hashes, low, high, WIDTH)
+            items = pa.ListArray.from_arrays(pa.array(s.first, pa.int32()), pa.array(s.items.view("int64"), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), items], names=["node", "items"])
+    X.tidy()
 
 
-def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, start, end, keeper): runs of words, counted from 0, of a cluster over several documents; keeper is the smallest doc_id of the cluster."""
-    small_batches(docs.sparkSession)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"))
+def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the PASSAGE - 1 words before (side -1, nearest first) or from (side 1) a place in a text."""
+    reach = PASSAGE - 1
+    for part in parts:
+        texts, wanted = part.column(2).to_pylist(), part.column(3).to_pylist()
+        for k, text in enumerate(texts):
+            h = (X.words([text]).hashes >> X.U(32)).astype(np.uint32).view(np.int32)
+            places, sides = [x["place"] for x in wanted[k]], [x["side"] for x in wanted[k]]
+            found = [h[max(0, p - reach) : p][::-1] if side < 0 else h[p : p + reach] for p, side in zip(places, sides, strict=True)]
+            at = pa.array(np.full(len(places), k))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(places, pa.int32()), pa.array(sides, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=[*KEYS, "place", "side", "words"])
+    X.tidy()
 
-    windows = texts.mapInArrow(_window_rows, "doc_id long, start int, window long")
-    per_window = windows.groupBy("window").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("window", "keeper")
-    shared = windows.join(maybe_broadcast(table(per_window, "windows")), "window").select("doc_id", "start", (F.col("start") + PASSAGE).alias("end"), "keeper")
 
-    lines = table(texts.mapInArrow(_line_sketch, "doc_id long, start int, end int, node long, bands array<long>"), "paragraphs")
-    classes = table(lines.groupBy("node").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("last"), F.min("bands").alias("bands")), "classes")
+def _alike(a: str, b: str) -> Column:
+    """How many words two contexts have in common from their begin on."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+    return F.aggregate(same, start, lambda acc, x: F.struct((acc["n"] + F.when(acc["on"] & x, 1).otherwise(0)).alias("n"), (acc["on"] & x).alias("on")), lambda acc: acc["n"])
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.join(nodes, "node").groupBy(F.col("at").alias("doc_id")).agg(F.collect_set("node").alias("wanted"))  # as many at most as the one document has lines
-        picked = texts.join(maybe_broadcast(table(wanted, "wanted"), 200_000), "doc_id").select("text", "wanted")
-        return picked.mapInArrow(_line_sets, "node long, items array<long>").dropDuplicates(["node"])
 
-    _, comps = link(classes.select("node", "bands"), sets_of, percent)
-    near = classes.join(comps, "node")
-    keepers = near.groupBy("comp").agg(F.min("at").alias("keeper"), F.max("last").alias("latest")).where("keeper < latest")
-    near = near.join(keepers, "comp").select("node", "keeper")
-    alone = classes.join(comps, "node", "left_anti").where("at < last").select("node", F.col("at").alias("keeper"))
-    known = maybe_broadcast(table(near.union(alone), "keepers"), 500_000)
-    return shared.union(lines.select("doc_id", "start", "end", "node").join(known, "node").select("doc_id", "start", "end", "keeper"))
+def _of_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """texts joined with what is wanted of each, by their keys; a list of it is bounded by the one text."""
+    return texts.join(maybe_broadcast(table(wanted, "wanted")), KEYS)
+
+
+def clusters(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts of docs (doc_id, row_hash, text) and their paragraphs (doc_id, row_hash, start, end, cluster) that are in a cluster over several documents, with
+    the place of the cluster's first copy (keeper, k_hash, k_start, k_end)."""
+    small_batches(docs.sparkSession)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("row_hash"), text_of().cast("binary").alias("text"))
+    seen = table(texts.mapInArrow(_paragraphs, "doc_id long, row_hash long, start int, end int, node long, bands array<long>"), "paragraphs")
+
+    often = seen.groupBy("node").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    often = table(often.select("node", "at", "last"), "repeated")
+    known = maybe_broadcast(often)
+    single = seen.join(known.select("node"), "node", "left_anti").select("node", "bands")
+    several = seen.join(known.select("node"), "node", "left_semi").groupBy("node").agg(F.min("bands").alias("bands"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = maybe_broadcast(table(nodes, "nodes"))
+        first = seen.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*KEYS, "start", "end")).alias("p"))
+        asked = first.groupBy("p.doc_id", "p.row_hash").agg(F.collect_list(F.struct("p.start", "p.end", "node")).alias("wanted"))
+        picked = _of_texts(texts.dropDuplicates(KEYS) if repeated_rows else texts, asked).select("text", "wanted")
+        return picked.mapInArrow(_paragraph_sets, "node long, items array<long>")
+
+    rows = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1")
+    repeated_rows = not rows.isEmpty()
+    _, comps = link(single.union(several), sets_of, percent)
+    named = comps.select("node", F.col("comp").alias("cluster")).union(often.where("at < last").join(comps, "node", "left_anti").select("node", F.col("node").alias("cluster")))
+    found = seen.drop("bands").distinct() if repeated_rows else seen.drop("bands")
+    found = table(found.join(maybe_broadcast(table(named, "named")), "node").drop("node"), "members")
+    first = F.min(F.struct(*KEYS, "start", "end"))
+    keep = found.groupBy("cluster").agg(first.alias("k"), F.max("doc_id").alias("last")).where("k.doc_id < last")
+    keep = keep.select("cluster", F.col("k.doc_id").alias("keeper"), F.col("k.row_hash").alias("k_hash"), F.col("k.start").alias("k_start"), F.col("k.end").alias("k_end"))
+    members = found.join(maybe_broadcast(table(keep, "keepers")), "cluster")
+    return (texts.dropDuplicates(KEYS) if repeated_rows else texts), table(members, "clusters")
+
+
+def repeats(docs: DataFrame, percent: int = PERCENT, min_run: int = MIN_RUN) -> DataFrame:
+    """(doc_id, row_hash, start, end, keeper, k_hash): runs of words, counted from 0, that a document shares with the one of a smaller doc_id that keeps them."""
+    texts, members = clusters(docs, percent)
+    per_run = ["keeper", "k_hash", *KEYS]
+    runs = _runs(members.where("doc_id != keeper"), per_run, 0).agg(F.min(F.struct("start", "k_start")).alias("l"), F.max(F.struct("end", "k_end")).alias("r"))
+    runs = table(runs.select(*per_run, "l.start", "l.k_start", "r.end", "r.k_end"), "runs")
+
+    place = lambda d, h, p, side: runs.select(F.col(d).alias("doc_id"), F.col(h).alias("row_hash"), F.col(p).alias("place"), F.lit(side).alias("side"))
+    places = place("doc_id", "row_hash", "start", -1).union(place("keeper", "k_hash", "k_start", -1)).union(place("doc_id", "row_hash", "end", 1)).union(place("keeper", "k_hash", "k_end", 1)).distinct()
+    asked = places.groupBy(*KEYS).agg(F.collect_list(F.struct("place", "side")).alias("wanted"))
+    near = table(_of_texts(texts, asked).select(*KEYS, "text", "wanted").mapInArrow(_contexts, "doc_id long, row_hash long, place int, side int, words array<int>"), "contexts")
+    near = maybe_broadcast(near)
+    out = runs
+    for d, h, p, side, name in (("doc_id", "row_hash", "start", -1, "l"), ("keeper", "k_hash", "k_start", -1, "kl"), ("doc_id", "row_hash", "end", 1, "r"), ("keeper", "k_hash", "k_end", 1, "kr")):
+        out = out.join(near.where(F.col("side") == side).select(F.col("doc_id").alias(d), F.col("row_hash").alias(h), F.col("place").alias(p), F.col("words").alias(name)), [d, h, p])
+    out = out.select(*per_run, (F.col("start") - _alike("l", "kl")).alias("start"), (F.col("end") + _alike("r", "kr")).alias("end"))
+    out = _runs(out, per_run, WIDTH).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return out.where(F.col("end") - F.col("start") >= min_run).drop("run")
+
+
+def _runs(spans: DataFrame, keys: list[str], gap: int):
+    """spans (keys, start, end), grouped to runs of such as overlap or lie at most gap words apart; bounded by one document."""
+    order = W.partitionBy(*keys).orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    new = F.when(F.col("start") <= reached + gap, 0).otherwise(1)
+    return spans.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "run")
 
 
 def _merged(spans: str) -> str:
@@ -132,31 +194,32 @@ def _merged(spans: str) -> str:
     return f"aggregate({spans}, cast(array() as array<struct<start: int, end: int>>), (acc, x) -> if(size(acc) > 0 and x.start <= {last}.end, {grown}, concat(acc, array(x))))"
 
 
-def document_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row for each document that shares a paragraph with another: doc_id, removed_words, removed (spans of words, merged) and keepers.
+def document_repeats(docs: DataFrame, percent: int = PERCENT, min_run: int = MIN_RUN) -> DataFrame:
+    """One row for each text of a document that shares a passage with another document: doc_id, row_hash, removed_words, removed (spans of words, merged) and keepers.
 
-    A document whose every shared paragraph stays in it has no spans.
+    A document whose every shared passage stays in it has no spans.
     """
-    found = repeats(docs, percent)
-    gone = F.when(F.col("doc_id") != F.col("keeper"), F.struct("start", "end"))
-    per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(gone)).alias("spans"), F.array_sort(F.collect_set("keeper")).alias("keepers"))  # bounded by the one document
-    merged = per_doc.select("doc_id", F.expr(_merged("spans")).alias("removed"), "keepers")
+    found = table(repeats(docs, percent, min_run), "repeats")
+    kept = found.select(F.col("keeper").alias("doc_id"), F.col("k_hash").alias("row_hash"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "keeper").distinct()
+    both = found.select(*KEYS, "start", "end", "keeper").union(kept)
+    gone = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    per_doc = both.groupBy(*KEYS).agg(F.array_sort(F.collect_set(gone)).alias("spans"), F.array_sort(F.collect_set("keeper")).alias("keepers"))  # bounded by the one document
+    merged = per_doc.select(*KEYS, F.expr(_merged("spans")).alias("removed"), "keepers")
     words = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return merged.select("doc_id", words.alias("removed_words"), "removed", "keepers")
+    return merged.select(*KEYS, words.alias("removed_words"), "removed", "keepers")
 
 
-def cut_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the removed words (with the white space after each); rows whose doc_id has several texts stay as they are."""
-    spans = document_repeats(docs, percent).where("removed_words > 0").select(F.col("doc_id").alias("__doc_id"), "removed")
-    single = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select(F.col("doc_id").alias("__one"))
-    spans = table(spans.join(single, F.col("__doc_id") == F.col("__one")), "spans")
-    joined = docs.join(maybe_broadcast(spans, 50_000), docs["doc_id"] == F.col("__doc_id"), "left")
+def cut_repeats(docs: DataFrame, percent: int = PERCENT, min_run: int = MIN_RUN) -> DataFrame:
+    """docs without the removed words, with the white space after each; all rows and columns stay."""
+    spans = document_repeats(docs, percent, min_run).where("removed_words > 0").select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__row_hash"), F.col("removed").alias("__removed"))
+    spans = maybe_broadcast(table(spans, "spans"))
+    joined = docs.join(spans, (docs["doc_id"].cast("long") == F.col("__doc_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("__row_hash")), "left")
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, removed: pa.Array) -> pa.Array:
         return pa.array([_without(t, r) for t, r in zip(text.to_pylist(), removed.to_pylist(), strict=True)], pa.string())
 
-    new_text = F.when(F.col("removed").isNull(), docs["text"]).otherwise(cut(text_of(docs["text"]).cast("binary"), F.col("removed")))
+    new_text = F.when(F.col("__removed").isNull(), docs["text"]).otherwise(cut(text_of(docs["text"]).cast("binary"), F.col("__removed")))
     return joined.select(*(new_text.alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bpe import encoded
-from tidewright.llm.common import new_path, read
+from tidewright.llm.common import drop_since, new_path, read, written
 from tidewright.llm.decontaminate import decontaminate
 from tidewright.llm.lines import dedup_lines
 from tidewright.llm.minhash import keep_one
@@ -47,10 +47,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each stage's result is written as Parquet and read again by the next."""
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = new_path(spark, name)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name)
+        mark = written()
+        stage(spark, docs, sf_dir).write.parquet(path)
+        drop_since(mark)  # what the stage wrote on its way
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,13 @@
 
 A text is laid out in paragraphs of two kinds. A layout paragraph is a line of MIN_WORDS words or more, or a run of shorter lines of as many in all; it is
 banded for high recall (BANDS bands of ROWS coordinates: a pair at Jaccard 0.8 collides with a chance of 99.8 %). A content-defined paragraph is a window
-of PASSAGE words: of each PASSAGE consecutive windows the one of the smallest hash is picked, so that two copies of a passage of 2 * PASSAGE - 1 words or
-more have a paragraph in common wherever they stand (W_BANDS bands of W_ROWS coordinates; two windows are near if they are equal but for a word or two
-at the ends). Paragraphs of either kind that share a bucket are joined and verified on their full sets of five-word shingles; near ones are clustered by
-connected components.
+of PASSAGE words: of each AMONG consecutive windows the one of the smallest hash is picked, so that two copies of a passage of PASSAGE + AMONG - 1 = 50
+words or more have a paragraph in common wherever they stand (W_BANDS bands of W_ROWS coordinates; two windows are near if they are equal but for a word at
+either end, which collide with a chance of 97 %; equal ones always do). Paragraphs of either kind that share a bucket over several documents are joined and
+verified on their full sets of five-word shingles; near ones are clustered by connected components.
 
 In a cluster over several documents the copy of the smallest doc_id stays. The paragraphs of a document that share one keeper are merged to runs, and a run
-is extended word by word to both sides as far as the keeper's text is the same (PASSAGE - 1 words at most: further ones hold another picked window). Runs
+is extended word by word to both sides as far as the keeper's text is the same (AMONG words at most: further ones hold another picked window). Runs
 that at most WIDTH edited words part are one. Runs of fewer than MIN_RUN words are left alone. The words of the others are removed.
 
 Defined cases: null and empty texts and null doc_ids have no paragraphs. Rows that share a doc_id are one document, so what repeats among them stays, but
@@ -29,8 +29,8 @@ from . import textsets as X
 from .common import maybe_broadcast, small_batches, table, text_of
 from .neardup import link
 
-MIN_WORDS, PASSAGE, WIDTH, PERCENT, MIN_RUN = 20, 25, 5, 80, 50
-BANDS, ROWS, W_BANDS, W_ROWS = 12, 4, 5, 3
+MIN_WORDS, PASSAGE, AMONG, WIDTH, PERCENT, MIN_RUN = 20, 20, 31, 5, 80, 50
+BANDS, ROWS, W_BANDS, W_ROWS = 12, 4, 3, 3
 KEYS = ["doc_id", "row_hash"]
 
 
@@ -55,10 +55,10 @@ def picked_windows(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         v = w[a : max(a, b - PASSAGE + 1)]
         if not len(v):
             continue
-        if len(v) < PASSAGE:
+        if len(v) < AMONG:
             starts.append(np.array([a + int(v.argmin())]))
         else:
-            least = np.lib.stride_tricks.sliding_window_view(v, PASSAGE).argmin(1) + np.arange(len(v) - PASSAGE + 1)
+            least = np.lib.stride_tricks.sliding_window_view(v, AMONG).argmin(1) + np.arange(len(v) - AMONG + 1)
             starts.append(a + np.unique(least))
     return np.concatenate(starts) if starts else np.zeros(0, np.int64)
 
@@ -101,8 +101,8 @@ def _paragraph_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the PASSAGE - 1 words before (side -1, nearest first) or from (side 1) a place in a text."""
-    reach = PASSAGE - 1
+    """Hashes of the AMONG words before (side -1, nearest first) or from (side 1) a place in a text."""
+    reach = AMONG
     for part in parts:
         texts, wanted = part.column(2).to_pylist(), part.column(3).to_pylist()
         for k, text in enumerate(texts):
@@ -136,8 +136,8 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     often = seen.groupBy("node").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1")
     often = table(often.select("node", "at", "last"), "repeated")
     known = maybe_broadcast(often)
-    single = seen.join(known.select("node"), "node", "left_anti").select("node", "bands")
-    several = seen.join(known.select("node"), "node", "left_semi").groupBy("node").agg(F.min("bands").alias("bands"))
+    single = seen.join(known.select("node"), "node", "left_anti").select("node", "bands", F.col("doc_id").alias("at"), F.col("doc_id").alias("last"))
+    several = seen.join(known, "node").groupBy("node").agg(F.min("bands").alias("bands"), F.min("at").alias("at"), F.min("last").alias("last"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = maybe_broadcast(table(nodes, "nodes"))

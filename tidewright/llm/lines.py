@@ -5,11 +5,12 @@ share, a token is constant if at its place it occurs in MIN_DOCS lines of the le
 are the template. A template of at least CONSTANT constant tokens (as a share) that lines of MIN_DOCS documents share is recurring: its lines are dropped,
 but for the first, by doc_id and place, so that nothing vanishes altogether.
 
-All steps are counts by key with partial sums; only the leaves, tokens and templates that recur are joined back.
+All steps are counts by key with partial sums; only the leaves, tokens and templates that recur are joined back. Texts are shuffled to meet their cuts
+only where the cuts' measured bytes are too many to be broadcast.
 
 Defined cases: null and empty texts have no lines. Lines of fewer than min_tokens tokens are left alone: MIN_TOKENS
 by default, none in op3_lines and the pipeline, which ask for 1; a leaf of fewer than DEPTH tokens is all of them. Rows that share doc_id and text are one document
-and are cut alike; a null doc_id is a value of its own and comes first in order.
+and are cut alike; a null doc_id is a value of its own and comes first in order. Columns of docs may have any names; all of them stay as they are.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
 
 
 def _cut_table(docs: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
-    gone = dropped_lines(docs, min_docs, min_tokens).groupBy(*KEYS).agg(F.collect_set("line").alias("__gone"))  # as many at most as the one document has lines
-    return gone.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__row_hash"), "__gone")
+    gone = dropped_lines(docs, min_docs, min_tokens).groupBy(*KEYS).agg(F.collect_set("line").alias("cut lines"))  # as many at most as the one document has lines
+    return gone.select(F.col("doc_id").alias("cut doc_id"), F.col("row_hash").alias("cut row_hash"), "cut lines")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -65,13 +66,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN
 
 
 def _joined(docs: DataFrame, min_docs: int, min_tokens: int):
-    cuts = table(_cut_table(docs, min_docs, min_tokens), "cuts").hint("merge")  # it grows with the texts, so it is joined by shuffle at every size
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("__row_hash")), "left")
-    joined = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(docs["text"], "\n", -1)))  # a column, so that no lambda splits anew
-    parts = F.col("__parts")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    new_text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n"))
-    return joined, new_text, F.coalesce(F.size("__gone"), F.lit(0))
+    cuts = maybe_broadcast(table(_cut_table(docs, min_docs, min_tokens), "cuts"))
+    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("cut doc_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("cut row_hash")), "left")
+    joined = joined.withColumn("cut parts", F.when(F.col("cut lines").isNotNull(), F.split(docs["text"], "\n", -1)))  # a column, so that no lambda splits anew
+    parts = F.col("cut parts")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("cut lines"))
+    new_text = F.when(F.col("cut lines").isNull(), docs["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n"))
+    return joined, new_text, F.coalesce(F.size("cut lines"), F.lit(0))
 
 
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:

@@ -108,9 +108,11 @@ def _outside(many: DataFrame, sets: DataFrame) -> DataFrame:
     outside = outside.select("a", "b", "both", "size", F.array_except("items", "items_a").alias("rest"), "need")
     outside = outside.select("a", "b", "both", "size", F.explode("rest").alias("item"), F.size("rest").alias("n_rest"), (F.size("rest") - F.col("need") + 1).alias("prefix"))
     outside = table(outside, "outside")
-    often = outside.groupBy("a", "item").agg(F.count("*").alias("often"))
-    ranked = outside.where("prefix > 0").join(often.where("often > 1"), ["a", "item"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("a", "b").orderBy("often", "item"))).where("k <= prefix and often > 1")
+    outside = outside.where("prefix > 0")
+    often = outside.groupBy("a", "item").agg(F.count("*").alias("often")).where("often > 1")  # items of one member come first in the order, and lead nowhere
+    both = outside.join(often, ["a", "item"])
+    order = W.partitionBy("a", "b").orderBy("often", "item")
+    ranked = both.withColumn("k", F.col("n_rest") - F.count("*").over(W.partitionBy("a", "b")) + F.row_number().over(order)).where("k <= prefix")
     again = ranked.select(F.col("b").alias("node"), F.xxhash64("a", "item").alias("bucket"), "size", "both", (F.col("n_rest") - F.col("k") + 1).alias("cap"))
     again = table(again, "again")
     return again.join(maybe_broadcast(table(_shared(again), "shared")), "bucket")

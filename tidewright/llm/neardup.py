@@ -46,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
 def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, small: int = 8) -> tuple[DataFrame, DataFrame]:
     """Links of classes (node, bands: array<long>) whose sets have 100 * intersection >= percent * union, and their components.
 
-    If classes have the columns at and last, the smallest and the largest owner of a node, only buckets of several owners are looked at. sets_of(nodes) gives (node, items: array<long>, distinct) for a frame of nodes. Returns links (a, b) between different nodes that settle all
+    If classes have the column owner, rows may repeat a node, and only buckets of several owners are looked at. sets_of(nodes) gives (node, items: array<long>, distinct) for a frame of nodes. Returns links (a, b) between different nodes that settle all
     components, and (node, comp) for the nodes in them. No pair that shares a bucket and could join two components goes unexamined:
 
     1. The pivot of a bucket, its member with the most company in all its buckets, is compared with all others.
@@ -59,9 +59,7 @@ def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     4. At the first item that d and e have in common, all other common ones come later in both orders. With cap the number of items from there on,
        min(cap_d, cap_e) + min(|d & B|, |e & B|) >= o must hold; pairs for which it doesn't are left out (_possible).
     """
-    owners = [c for c in ("at", "last") if c in classes.columns]
-    buckets = classes.select("node", *owners, F.explode("bands").alias("bucket"))
-    member = table(buckets.drop(*owners).join(maybe_broadcast(table(_shared(buckets), "shared")), "bucket"), "members")
+    member = _members(classes)
     sets = table(sets_of(member.select("node").distinct()).withColumn("size", F.size("items")), "sets")
     company = member.groupBy("node").agg(F.sum("n").alias("company"))
     pivot = member.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("pivot"))
@@ -118,11 +116,22 @@ def _outside(many: DataFrame, sets: DataFrame) -> DataFrame:
     return again.join(maybe_broadcast(table(_shared(again), "shared")), "bucket")
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """(bucket, node, n): the members of buckets of at least two nodes (and two owners, if classes have them), with how many they are."""
+    if "owner" not in classes.columns:
+        buckets = classes.select("node", F.explode("bands").alias("bucket"))
+        return table(buckets.join(maybe_broadcast(table(_shared(buckets), "shared")), "bucket"), "members")
+    buckets = classes.select("node", "owner", F.explode("bands").alias("bucket"))
+    low = F.col("node").bitwiseAND(0x7FFFFFFF).cast("int")  # enough to tell two nodes of a bucket apart, and half as long
+    shared = buckets.groupBy("bucket").agg(F.min(low).alias("a"), F.max(low).alias("b"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("a < b and lo < hi").select("bucket")
+    shared = maybe_broadcast(table(shared, "shared"))
+    member = table(buckets.select("node", "bucket").join(shared, "bucket", "left_semi").distinct(), "members")
+    return table(member.join(_shared(member), "bucket"), "members")
+
+
 def _shared(buckets: DataFrame) -> DataFrame:
-    """The buckets of at least two members, and of two owners if they are known, with their number of members."""
-    if "at" not in buckets.columns:
-        return buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("last").alias("hi")).where("n > 1 and lo < hi").select("bucket", "n")
+    """The buckets of at least two members, with their number."""
+    return buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def _mixed(member: DataFrame, comps: DataFrame) -> DataFrame:

@@ -135,10 +135,6 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
 
     often = seen.groupBy("node").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1")
     often = table(often.select("node", "at", "last"), "repeated")
-    known = maybe_broadcast(often)
-    single = seen.join(known.select("node"), "node", "left_anti").select("node", "bands", F.col("doc_id").alias("at"), F.col("doc_id").alias("last"))
-    several = seen.join(known, "node").groupBy("node").agg(F.min("bands").alias("bands"), F.min("at").alias("at"), F.min("last").alias("last"))
-
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = maybe_broadcast(table(nodes, "nodes"))
         first = seen.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*KEYS, "start", "end")).alias("p"))
@@ -148,7 +144,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
 
     rows = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1")
     repeated_rows = not rows.isEmpty()
-    _, comps = link(single.union(several), sets_of, percent)
+    _, comps = link(seen.select("node", F.col("doc_id").alias("owner"), "bands"), sets_of, percent)
     named = comps.select("node", F.col("comp").alias("cluster")).union(often.where("at < last").join(comps, "node", "left_anti").select("node", F.col("node").alias("cluster")))
     found = seen.drop("bands").distinct() if repeated_rows else seen.drop("bands")
     found = table(found.join(maybe_broadcast(table(named, "named")), "node").drop("node"), "members")

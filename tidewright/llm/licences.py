@@ -2,8 +2,8 @@
 
 A file is looked at in units of two kinds: its lines, which hold titles and short notices, and its sentences, which may be wrapped over lines (they end at
 . ; or : before white space and at blank lines), which hold header clauses and the clauses of licence bodies. A unit's licence is that of the template of
-the highest cosine, if that is at least THRESHOLD. The file's licence is that of its best unit; ties go to the first name, and a notice of WEAK, which
-stands beside other licences too, counts only where there is no other. Terms are runs of a-z and digits; document frequencies are counted over the
+the highest cosine, if that is at least THRESHOLD and they share SHARED terms or all the template has. The file's licence is that of its best unit; ties go to the first name, and a notice of WEAK, which
+stands beside other licences too, counts only where there is no other. Terms are runs of a-z and digits but for COMMON words; document frequencies are counted over the
 templates, so weights don't change with the corpus. A unit can only reach the threshold with one of a template's anchors: without them, the norm of what it
 may share is too small. That bound picks the units to score without losing any.
 
@@ -57,7 +57,7 @@ TEMPLATES = {
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "ISC": (
@@ -91,11 +91,17 @@ TEMPLATES = {
     ),
 }
 WEAK = ["Proprietary"]
+#: Terms that a unit must share with a template at least, or all that it has: in some languages "mit" is a word like any other.
+SHARED = 2
 #: Where sentences end, in lowered text.
 SENTENCES = r"(?<=[.;:])\s+|\n[ \t\r]*\n"
 THRESHOLD = 0.8
-#: Words too common in prose to look for first.
-COMMON = "a all and are by for in into is of or other that the this to under with without".split()
+#: Words too common in prose to tell anything, which are no terms.
+COMMON = "a all and any are as at be by do for in into is it of on or other so that the this to under with without you".split()
+
+
+#: Terms that are words in other languages, so they are looked for last.
+LATE = ["mit", "cc"]
 
 
 def _terms(text: str) -> list[str]:
@@ -106,7 +112,7 @@ def _terms(text: str) -> list[str]:
         elif word:
             out.append(word)
             word = ""
-    return out
+    return [t for t in out if t not in COMMON]
 
 
 def weights(templates: dict[str, tuple[str, ...]]) -> tuple[dict[str, float], dict[tuple[str, int], dict[str, float]]]:
@@ -131,8 +137,12 @@ def unknown_weight(templates: dict[str, tuple[str, ...]]) -> float:
 def anchors(vectors: dict[tuple[str, int], dict[str, float]], threshold: float) -> list[str]:
     """Terms of which a unit must hold one to reach the threshold with any template: those left out have a norm below it in each."""
     found: set[str] = set()
-    for v in vectors.values():
-        for t, _ in sorted(v.items(), key=lambda x: (x[0] in COMMON, len(x[0]) < 5, -x[1], x[0])):
+    for v in sorted(vectors.values(), key=len):
+        if len(v) == SHARED:  # all its terms are needed, so one of them is enough to look for
+            if not found & v.keys():
+                found.add(max(v, key=lambda t: (t not in LATE, len(t) >= 5, v[t], t)))
+            continue
+        for t, _ in sorted(v.items(), key=lambda x: (x[0] in LATE, len(x[0]) < 5, -x[1], x[0])):
             if math.sqrt(sum(x * x for u, x in v.items() if u not in found)) < threshold - 1e-9:
                 break
             found.add(t)
@@ -150,15 +160,16 @@ def unit_matches(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     lines = files.select("file_key", F.lower(text_of()).alias("low")).where(some(F.col("low")))
     units = F.array_distinct(F.concat(F.split("low", "\n"), F.split("low", SENTENCES)))
     lines = lines.select("file_key", F.posexplode(units).alias("line", "content"))
-    lines = lines.where(some(F.col("content"))).select("file_key", "line", F.split("content", "[^a-z0-9]+").alias("terms"))
+    lines = lines.where(some(F.col("content"))).select("file_key", "line", F.filter(F.split("content", "[^a-z0-9]+"), lambda t: ~t.isin("", *COMMON)).alias("terms"))
     lines = lines.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in needed])))
-    counted = lines.select("file_key", "line", F.explode("terms").alias("term")).where("term != ''").groupBy("file_key", "line", "term").agg(F.count("*").alias("n"))
+    counted = lines.select("file_key", "line", F.explode("terms").alias("term")).groupBy("file_key", "line", "term").agg(F.count("*").alias("n"))
     idf_rows = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    vector_rows = spark.createDataFrame([(t, name, k, x) for (name, k), v in sorted(vectors.items()) for t, x in sorted(v.items())], "term string, licence string, variant int, weight double")
+    vector_rows = spark.createDataFrame([(t, name, k, x, len(v)) for (name, k), v in sorted(vectors.items()) for t, x in sorted(v.items())], "term string, licence string, variant int, weight double, terms int")
     valued = counted.join(F.broadcast(idf_rows), "term", "left").withColumn("value", F.col("n") * F.coalesce("idf", F.lit(unknown)))  # bounded by the templates
     valued = table(valued.select("file_key", "line", "term", "value"), "terms")
     norms = valued.groupBy("file_key", "line").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dots = valued.join(F.broadcast(vector_rows), "term").groupBy("file_key", "line", "licence", "variant").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    dots = valued.join(F.broadcast(vector_rows), "term").groupBy("file_key", "line", "licence", "variant").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"), F.count("*").alias("shared"), F.max("terms").alias("terms"))
+    dots = dots.where((F.col("shared") >= SHARED) | (F.col("shared") == F.col("terms")))
     both = dots.join(norms, ["file_key", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= threshold)
     best = both.groupBy("file_key").agg(F.min(F.struct(F.col("licence").isin(WEAK).alias("weak"), (-F.col("cosine")).alias("less"), F.col("licence").alias("name"))).alias("best"))
     return best.select("file_key", F.col("best.name").alias("licence"), (-F.col("best.less")).alias("cosine"))

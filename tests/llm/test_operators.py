@@ -165,21 +165,21 @@ def test_licences_against_brute_force_and_inheritance(spark):
         out = (2, 0, None)
         low = (text or "").lower()
         for unit in [*low.split("\n"), *re.split(licences.SENTENCES, low)]:
-            n = collections.Counter(t for t in re.split("[^a-z0-9]+", unit) if t)
+            n = collections.Counter(t for t in re.split("[^a-z0-9]+", unit) if t and t not in licences.COMMON)
             norm = math.sqrt(sum((k * idf.get(t, unknown)) ** 2 for t, k in n.items()))
             for (name, _), v in sorted(vectors.items()):
                 c = round(sum(k * idf.get(t, unknown) * v.get(t, 0) for t, k in n.items()) / norm, 9) if norm else 0
-                if c >= licences.THRESHOLD:
+                if c >= licences.THRESHOLD and len(n.keys() & v.keys()) >= min(len(v), licences.SHARED):
                     out = min(out, (name in licences.WEAK, -c, name))
         return out[2]
 
     every = [t for texts in licences.TEMPLATES.values() for t in texts]
     texts = [*every, "Released under the MIT License, see below", "the license", prose(50), "All rights reserved. " + prose(30), None, "", "x\n\nLicensed under CC BY-NC 4.0.\ny", "Copyright 2020 Jane Doe. Released under the MIT License."]
-    texts += ["\n".join(textwrap.wrap(t, 40)) for t in every] + ["MIT License\n\nCopyright (c) 2020 Jane Doe. All rights reserved.\n\n" + "\n".join(textwrap.wrap(licences.TEMPLATES["MIT"][3], 60)), "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 3 of the License, or\n# (at your option) any later version.", prose(20_000), "mit " * 3000]
+    texts += ["\n".join(textwrap.wrap(t, 40)) for t in every] + ["MIT License\n\nCopyright (c) 2020 Jane Doe. All rights reserved.\n\n" + "\n".join(textwrap.wrap(licences.TEMPLATES["MIT"][3], 60)), "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 3 of the License, or\n# (at your option) any later version.", prose(20_000), "mit " * 3000, "Mit.\nund mit"]
     files = spark.createDataFrame([(k, f"a/b/{k}", t) for k, t in enumerate(texts)], "file_key long, path string, text string")
     got = {r.file_key: r.licence for r in licences.unit_matches(files).collect()}
     assert {k: got.get(k) for k in range(len(texts))} == {k: best(t) for k, t in enumerate(texts)}
-    assert got[len(texts) - 4] == "MIT" and got[len(texts) - 3] == "GPL-3.0"
+    assert got[len(texts) - 5] == "MIT" and got[len(texts) - 4] == "GPL-3.0"
     assert licences.unit_matches(files.limit(0)).count() == 0
     doubled = licences.scan_documents(frame(spark, [(1, "MIT License"), (1, "MIT License"), (None, "MIT License"), (2, None)], "source string, licence string, cosine string"[:13]))
     assert sorted((str(r.doc_id), r.licence, r.licence_source) for r in doubled.collect()) == [("1", "MIT", "own"), ("1", "MIT", "own"), ("2", "MIT", "inherited"), ("None", "MIT", "own")]

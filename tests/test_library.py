@@ -7,19 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import distributions as D
+from tidewright.functions.examples import VALID
 from tidewright.operators import country, identifiers, latlong, prepare, profile, relations, semantic, text
 from tidewright.plans import lineage
 from tidewright.sources.rest import RestSource
 from tidewright.streaming.counters import windowed_counts
 
-VALID = {
-    "iban": "GB82 WEST 1234 5698 7654 32", "isbn": "978-0-306-40615-7", "issn": "0378-5955", "ean": "4006381333931", "imei": "49-015420-323751-8", "isin": "US0378331005", "cusip": "037833100", "lei": "5493001KJTIIGC8Y1R12",
-    "es_dni": "54362315-K", "es_nie": "X-2482300W", "es_cif": "J99216582", "de_vat": "DE136695976", "de_idnr": "36 574 261 809", "br_cpf": "390.533.447-05", "br_cnpj": "16.727.230/0001-97", "nl_bsn": "111222333", "pl_pesel": "44051401359",
-    "pl_nip": "8567346215", "ch_ssn": "756.9217.0769.85", "in_aadhaar": "2341 2341 2346", "au_abn": "51 824 753 556", "casrn": "87-86-5", "gb_nhs": "943 476 5870", "fr_siren": "552008443", "hr_oib": "33392005961", "be_vat": "BE 0428759497",
-    "cl_rut": "76086428-5", "fi_hetu": "131052-308T", "it_iva": "IT 00743110157", "imo": "IMO 9319466", "pt_nif": "PT 501 964 843", "dk_cvr": "DK 13585628", "no_orgnr": "988 077 917", "gb_sedol": "B15KXQ8", "au_acn": "004 085 616",
-}
-
-
 def test_valid_identifiers_pass_and_changed_ones_fail(spark):
     rows = [(n, v, v[:-1] + ("0" if v[-1] != "0" else "1")) for n, v in VALID.items()]
     df = spark.createDataFrame(rows, "name string, good string, bad string")
@@ -150,3 +143,47 @@ def test_streaming_counts(spark, tmp_path):
 def test_a_raise_policy_raises(spark):
     with pytest.raises(Exception, match="not a valid"):
         identifiers.clean(spark.createDataFrame([("x1",)], "v string"), "v", "iban", errors="raise").collect()
+
+
+def test_dates_in_all_shapes(spark):
+    cases = [("2020-03-04", "2020-03-04 00:00:00"), ("4 March 2020 at noon", None), ("March 4th, 2020 3:07 PM", "2020-03-04 15:07:00"), ("Wed, 4 Mar 2020 12:05 am", "2020-03-04 00:05:00"), ("2020-03-04T05:06:07", "2020-03-04 05:06:07"), ("3/4/2020 5 pm", "2020-03-04 17:00:00"), ("2020-13-04", None), ("20200304", "2020-03-04 00:00:00"), (None, None), ("", None), ("2020", None)]
+    df = spark.createDataFrame(cases, "t string, want string")
+    got = semantic.clean_date(df, "t").collect()
+    assert [(r.t, r.t_clean) for r in got] == cases
+    filled = semantic.clean_date(spark.createDataFrame([("2020",), ("March 2021",), ("2021-7",)], "t string"), "t", "yyyy-MM-dd", fix_missing="minimum").collect()
+    assert [r.t_clean for r in filled] == ["2020-01-01", "2021-03-01", "2021-07-01"]
+    with pytest.raises(ValueError):
+        semantic.clean_date(df, "t", "YYYY-jj")
+
+
+def test_addresses_of_both_ip_versions(spark):
+    cases = [("::", "::"), ("::1", "::1"), ("2001:0db8:0:0:1:0:0:1", "2001:db8::1:0:0:1"), ("fe80::1:2:3:4:5:6:7:8", None), ("1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8"), ("1:2:3", None), ("g::1", None), (":::", None), ("12345::", None)]
+    df = spark.createDataFrame(cases, "t string, want string")
+    assert [r[0] for r in df.select(semantic.ipv6(F.col("t"))).collect()] == [w for _, w in cases]
+
+
+def test_e_mails_by_their_parts(spark):
+    good = ["a@b.co", "first.last+tag@sub.example-host.org", "X_1@EXAMPLE.COM"]
+    bad = ["a@b", "a..b@c.org", ".a@c.org", "a@-c.org", "a@c-.org", "a b@c.org", "a@b@c.org", "@c.org", "a@", "x" * 65 + "@c.org", None, ""]
+    df = spark.createDataFrame([(x,) for x in good + bad], "t string")
+    assert [r[0] for r in df.select(semantic.validate(F.col("t"), "email")).collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_coordinates_of_many_forms(spark):
+    cases = [("41.5, -81.0", (41.5, -81.0)), ("41.5; -81", (41.5, -81.0)), ("41° 30′ 0″ N, 81° 0′ 0″ W", (41.5, -81.0)), ("41.5 N 81.0 W", (41.5, -81.0)), ("(41.5,-81.0)", (41.5, -81.0)), ("91, 0", None), ("41° 75′ N, 81 W", None), ("hello", None), ("1 2 3", None), (None, None), ("-81.0", None)]
+    got = latlong.clean_lat_long(spark.createDataFrame([(t,) for t, _ in cases], "t string"), "t").collect()
+    assert [tuple(r.t_clean) if r.t_clean else None for r in got] == [w for _, w in cases]
+
+
+def test_quantiles_of_counted_values_equal_the_exact_ones(spark):
+    import numpy as np
+
+    g = np.random.default_rng(8)
+    a, b = g.normal(size=3000), g.integers(0, 5, 3000).astype(float)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b, strict=True)] + [(None, float("nan")), (float("inf"), 1.0)], "a double, b double")
+    got = {(r.column, r.metric): r.value for r in profile.numeric_profile(df).collect()}
+    for p in profile.QUANTILES:
+        assert abs(got["a", f"q{round(100 * p):02d}"] - np.quantile(a, p)) < 1e-9 and got["b", f"q{round(100 * p):02d}"] == np.quantile(np.append(b, 1.0), p)
+    assert got["a", "distinct"] == 3001 and got["b", "distinct"] == 5 and got["a", "infinite"] == 1
+    empty = {(r.column, r.metric): r.value for r in profile.numeric_profile(df.limit(0)).collect()}
+    assert empty["a", "count"] == 0 and empty["a", "q50"] is None and empty["b", "distinct"] == 0

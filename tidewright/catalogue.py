@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.examples import VALID
 from .operators import country, identifiers, latlong, prepare, profile, relations, semantic, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +141,8 @@ def _cut(step: str, **params) -> Callable[[DataFrame], DataFrame]:
     return lambda d: text.clean_text(d.select("doc_id", "text"), "text", [{"operator": step, "parameters": params}]).select("doc_id", F.md5("text").alias("digest"))
 
 
+_WORD = "string_split_regex(trim({}), '\\s+')"
+_STOPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOPWORDS)
 _T = "SELECT doc_id, md5({}) AS digest FROM documents"
 _add("text_lowercase", "documents", _cut("lowercase"), _T.format("lower(text)"))
 _add("text_remove_html", "documents", _cut("remove_html"), _T.format("regexp_replace(text, '<[A-Za-z/][^>]*>|&(?:[a-z0-9]+|#[0-9]{1,6}|#x[0-9a-f]{1,6});', '', 'g')"))
@@ -148,6 +151,13 @@ _add("text_remove_urls", "documents", _cut("remove_urls"), _T.format("regexp_rep
 _add("text_remove_whitespace", "documents", _cut("remove_whitespace"), _T.format("trim(regexp_replace(text, '[\\n\\t]| {2,}', ' ', 'g'), ' ')"))
 _add("text_replace_digits", "documents", _cut("replace_digits", value="#", block=False), _T.format("regexp_replace(text, '\\p{Nd}+', '#', 'g')"))
 _add("text_remove_bracketed", "documents", _cut("remove_bracketed", brackets="round"), _T.format("regexp_replace(text, '\\([^()]*\\)', '', 'g')"))
+_add("text_uppercase", "part", lambda d: text.clean_text(d.select("p_partkey", "p_type"), "p_type", [{"operator": "lowercase"}, {"operator": "uppercase"}]), "SELECT p_partkey, upper(p_type) AS p_type FROM part")
+_add("text_sentence_case", "documents", _cut("sentence_case"), _T.format("upper(substr(text, 1, 1)) || lower(substr(text, 2))"))
+_add("text_fillna", "documents", lambda d: text.clean_text(d.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.lit("kept")).otherwise(F.lit("N/A")).alias("t")), "t", [{"operator": "fillna", "parameters": {"value": "none"}}]), "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'kept' ELSE 'none' END AS t FROM documents")
+_add("text_remove_prefixed", "documents", _cut("remove_prefixed", prefix="@"), _T.format("regexp_replace(text, '@\\S+', '', 'g')"))
+_add("text_replace_text", "customer", lambda d: text.clean_text(d.select("c_custkey", F.concat(F.lit("the "), F.lower("c_mktsegment"), F.lit(" of furniture makers")).alias("t")), "t", [{"operator": "replace_text", "parameters": {"value": {"furniture": "chair", "make": "x"}}}]), "SELECT c_custkey, 'the ' || replace(lower(c_mktsegment), 'furniture', 'chair') || ' of chair makers' AS t FROM customer")
+_add("text_remove_stopwords", "conversations", lambda d: text.clean_text(d.select("conv_id", "turn", "text"), "text", [{"operator": "remove_stopwords"}]).select("conv_id", "turn", F.md5("text").alias("digest")), f"SELECT conv_id, turn, md5(array_to_string(list_filter({_WORD.format('text')}, lambda w: lower(w) NOT IN ({_STOPPED})), ' ')) AS digest FROM conversations")
+_add("text_user_function", "customer", lambda d: text.clean_text(d.select("c_custkey", "c_name"), "c_name", [{"operator": lambda c, k: F.right(c, F.lit(k)), "parameters": {"k": 3}}]), "SELECT c_custkey, right(c_name, 3) AS c_name FROM customer")
 _add("text_default", "documents", lambda d: text.clean_text(d, "text").select("doc_id", F.md5("text").alias("digest")))
 _add("clean_url", "pages", lambda d: semantic.clean_url(d, "url", split=True).select("page_id", "scheme", "host", "url_clean"), "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^(https?://[^?#]*)', 1) AS url_clean FROM pages")
 _MAIL = lambda: F.concat(
@@ -160,13 +170,38 @@ _add("clean_lat_long", "customer", lambda d: latlong.clean_lat_long(d.select("c_
 SELECT c_custkey, CASE WHEN c_custkey % 100 < 90 THEN c_custkey % 100 + 0.5::DOUBLE END AS latitude, CASE WHEN c_custkey % 100 < 90 THEN CASE WHEN c_custkey % 170 = 0 THEN 0.25 ELSE -(c_custkey % 170) - 0.25 END::DOUBLE END AS longitude FROM customer""")
 _add("clean_amount", "supplier", lambda d: d.select("s_suppkey", semantic.amount(F.concat(F.lit("$"), F.format_number("s_acctbal", 2))).alias("a")), "SELECT s_suppkey, round(s_acctbal, 2) AS a FROM supplier")
 _add("clean_date", "orders", lambda d: semantic.clean_date(d.select("o_orderkey", F.date_format("o_orderdate", "d/M/yyyy").alias("t")), "t", "yyyy-MM-dd").select("o_orderkey", "t_clean"), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS t_clean FROM orders")
+_when = lambda pattern: lambda d: d.select("o_orderkey", F.date_format("o_orderdate", pattern).alias("t"))
+_add("clean_date_am_pm", "orders", lambda d: semantic.clean_date(d.select("o_orderkey", F.concat(F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" 3:07 pm")).alias("t")), "t").select("o_orderkey", "t_clean"), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 15:07:00' AS t_clean FROM orders")
+_add("clean_date_missing_parts", "orders", lambda d: semantic.clean_date(_when("yyyy-M")(d), "t", "yyyy-MM-dd", fix_missing="minimum").select("o_orderkey", "t_clean"), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') || '-01' AS t_clean FROM orders")
+_add("clean_date_zone", "orders", lambda d: semantic.clean_date(_when("yyyy-MM-dd'T'HH:mm:ss")(d), "t", input_timezone="UTC", output_timezone="Asia/Tokyo").select("o_orderkey", "t_clean"), "SELECT o_orderkey, strftime(CAST(date_trunc('second', CAST(o_orderdate AS TIMESTAMP)) AS TIMESTAMP) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS t_clean FROM orders")
+_add("validate_date", "orders", lambda d: d.select("o_orderkey", semantic.validate(F.concat_ws("-", F.lit("2023"), (F.col("o_orderkey") % 14).cast("string"), F.lit("10")), "date").alias("ok")), "SELECT o_orderkey, o_orderkey % 14 BETWEEN 1 AND 12 AS ok FROM orders")
+_add("validate_email", "customer", lambda d: d.select("c_custkey", semantic.validate(F.concat(F.lit("a."), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 4 == 0, ".").otherwise(""), F.lit("@host."), F.when(F.col("c_custkey") % 5 == 0, "-x").otherwise("org")), "email").alias("ok")), "SELECT c_custkey, c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AS ok FROM customer")
+_add("validate_url", "pages", lambda d: d.select("page_id", semantic.validate(F.concat(F.when(F.col("page_id") % 3 == 0, "ftp").otherwise("https"), F.lit("://example.org/"), F.col("page_id").cast("string")), "url").alias("ok")), "SELECT page_id, page_id % 3 <> 0 AS ok FROM pages")
+_add("validate_ip", "events", lambda d: d.select("event_id", semantic.validate(F.concat(F.lit("10.0."), (F.col("event_id") % 300).cast("string"), F.lit(".7")), "ip").alias("ok")), "SELECT event_id, event_id % 300 < 256 AS ok FROM events")
+_add("clean_ipv6", "events", lambda d: d.select("event_id", *[semantic.ipv6(F.concat(F.lit("2001:0DB8::"), F.hex(F.col("event_id") % 65536), F.lit(":1")), f).alias(f) for f in ("compressed", "full")]), "SELECT event_id, '2001:db8::' || CASE WHEN event_id % 65536 = 0 THEN '1' ELSE lower(to_hex(event_id % 65536)) || ':1' END AS compressed, '2001:0db8:0000:0000:0000:0000:' || lpad(lower(to_hex(event_id % 65536)), 4, '0') || ':0001' AS full FROM events")
+_add("validate_phone", "customer", lambda d: d.select("c_custkey", semantic.validate(F.concat((F.col("c_custkey") % 9 + 1).cast("string"), F.lit("55-123-4567")), "phone").alias("ok")), "SELECT c_custkey, c_custkey % 9 >= 1 AS ok FROM customer")
+_add("lat_long_minutes", "customer", lambda d: latlong.clean_lat_long(d.select("c_custkey", F.concat((F.col("c_custkey") % 80).cast("string"), F.lit("° 30′ N, "), (F.col("c_custkey") % 170).cast("string"), F.lit("° 15′ W")).alias("p")), "p", output_format="ddh").select("c_custkey", F.col("p_clean.lat").alias("lat"), F.col("p_clean.long").alias("long")), "SELECT c_custkey, (c_custkey % 80) || '.5° N' AS lat, (c_custkey % 170) || '.25° W' AS long FROM customer")
+_add("lat_long_two_columns", "customer", lambda d: latlong.clean_lat_long(d.select("c_custkey", (F.col("c_custkey") % 120).cast("string").alias("a"), F.lit("-7.5").alias("b")), ("a", "b"), split=True).select("c_custkey", "latitude", "longitude"), "SELECT c_custkey, CASE WHEN c_custkey % 120 <= 90 THEN (c_custkey % 120)::DOUBLE END AS latitude, CASE WHEN c_custkey % 120 <= 90 THEN -7.5::DOUBLE END AS longitude FROM customer")
 _add("flatten_json", "events", lambda d: semantic.flattened_json(d.select("event_id", "props"), "props", "k long").select("event_id", "k"), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 _add("dedupe_fingerprint", "part", lambda d: d.select(prepare.fingerprint(F.col("p_name")).alias("f")).groupBy("f").agg(F.count("*").alias("n")), "SELECT array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(trim(p_name)), '[[:punct:][:cntrl:]]', '', 'g'), '\\s+'), lambda w: w <> ''))), ' ') AS f, count(*) AS n FROM part GROUP BY 1")
 _add("near_values", "part", lambda d: prepare.near_values(d, "p_name", 3, 3), "WITH v AS (SELECT DISTINCT p_name AS v FROM part) SELECT a.v AS a, b.v AS b, CAST(levenshtein(a.v, b.v) AS INTEGER) AS distance FROM v a JOIN v b ON a.v < b.v WHERE levenshtein(a.v, b.v) <= 3 AND len(list_intersect(list_transform(generate_series(1, greatest(length(a.v) - 2, 1)), lambda i: substr(a.v, i, 3)), list_transform(generate_series(1, greatest(length(b.v) - 2, 1)), lambda i: substr(b.v, i, 3)))) > 0")
 _add("clean_duplication", "part", lambda d: prepare.cluster_by_key(d, "p_name", prepare.ngram_fingerprint(F.col("value"))).select("key", "size"))
 _add("ml_scale", "supplier", lambda d: _rounded(prepare.Prepare("s_suppkey").fit(d).transform(d).select("s_suppkey", "s_acctbal")), "SELECT s_suppkey, round((s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER (), 6) AS s_acctbal FROM supplier")
+_add("ml_minmax", "supplier", lambda d: _rounded(prepare.Prepare("s_suppkey", num_scaling="minmax").fit(d).transform(d).select("s_suppkey", "s_acctbal")), "SELECT s_suppkey, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) AS s_acctbal FROM supplier")
+_gaps = lambda d: d.select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("v"), F.when(F.col("s_suppkey") % 4 == 1, "b").when(F.col("s_suppkey") % 4 > 1, "a").alias("w"), F.lit(1.0).alias("flat"))
+_add("ml_impute_median", "supplier", lambda d: _rounded(prepare.Prepare("s_suppkey", num_imputation="median", num_scaling="none").fit(_gaps(d)).transform(_gaps(d)).select("s_suppkey", "v")), "WITH g AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS v FROM supplier) SELECT s_suppkey, round(coalesce(v, (SELECT quantile_cont(v, 0.5) FROM g)), 6) AS v FROM g")
+_add("ml_impute_mode", "supplier", lambda d: prepare.Prepare("s_suppkey", cat_imputation="most_frequent", cat_encoding="none").fit(_gaps(d)).transform(_gaps(d)).select("s_suppkey", "w"), "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 1 THEN 'b' ELSE 'a' END AS w FROM supplier")
+_add("ml_variance", "supplier", lambda d: d.sparkSession.createDataFrame([(c,) for c in prepare.Prepare("s_suppkey", variance=0.0).fit(_gaps(d)).transform(_gaps(d)).columns], "kept string"), "SELECT unnest(['s_suppkey', 'v', 'w']) AS kept")
+_add("merge_values", "customer", lambda d: prepare.merge_values(d.select("c_custkey", "c_mktsegment"), "c_mktsegment", {"BUILDING": "HOUSE"}), "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'HOUSE' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 _add("ml_one_hot", "customer", lambda d: prepare.Prepare("c_custkey").fit(d.select("c_custkey", "c_mktsegment")).transform(d.select("c_custkey", "c_mktsegment")).select("c_custkey", F.array_join(F.transform("c_mktsegment", lambda x: x.cast("int").cast("string")), "").alias("c")), """
 WITH v AS (SELECT list_sort(list(DISTINCT c_mktsegment)) AS v FROM customer) SELECT c_custkey, array_to_string(list_transform(v, lambda x: CASE WHEN x = c_mktsegment THEN '1' ELSE '0' END), '') AS c FROM customer, v""")
+_add("corr_top", "lineitem", lambda d: _rounded(relations.strongest(relations.pearson(d.select(*_NUM)), 2)), "WITH c AS (" + " UNION ALL ".join(f"SELECT '{y}' AS x, '{x}' AS y, corr({x}, {y}) AS correlation FROM lineitem" for i, x in enumerate(_NUM) for y in _NUM[i + 1 :]) + ") SELECT x, y, round(correlation, 6) AS correlation FROM c ORDER BY abs(correlation) DESC LIMIT 2")
+_add("corr_range", "lineitem", lambda d: _rounded(relations.strongest(relations.pearson(d.select(*_NUM)), limits=(0.5, 1.0))), "WITH c AS (" + " UNION ALL ".join(f"SELECT '{y}' AS x, '{x}' AS y, corr({x}, {y}) AS correlation FROM lineitem" for i, x in enumerate(_NUM) for y in _NUM[i + 1 :]) + ") SELECT x, y, round(correlation, 6) AS correlation FROM c WHERE correlation BETWEEN 0.5 AND 1")
+_add("corr_one_to_all", "lineitem", lambda d: _rounded(relations.against_all(relations.pearson(d.select(*_NUM)), "l_tax")), " UNION ALL ".join(f"SELECT '{x}' AS \"column\", round(corr(l_tax, {x}), 6) AS correlation FROM lineitem" for x in _NUM if x != "l_tax"))
+_add("time_profile", "orders", lambda d: profile.time_profile(d, "o_orderdate"), "SELECT count(*) AS count, count(*) - count(o_orderdate) AS missing, count(DISTINCT o_orderdate) AS distinct, CAST(min(o_orderdate) AS VARCHAR)[1:10] AS first, CAST(max(o_orderdate) AS VARCHAR)[1:10] AS last FROM orders")
+_add("top_groups_with_ties", "customer", lambda d: profile.top_groups(d, "c_nationkey", 3), "WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS value, count(*) AS count FROM customer GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY count DESC) AS r FROM c) SELECT value, count FROM r WHERE r <= 3")
+_add("joined_values", "nation", lambda d: profile.joined_values(d, "n_regionkey", "n_name"), "SELECT CAST(n_regionkey AS VARCHAR) AS value, string_agg(n_name, ',' ORDER BY n_name) AS joined FROM (SELECT DISTINCT n_regionkey, n_name FROM nation) GROUP BY 1")
+_add("missing_impact_all", "lineitem", lambda d: _rounded(relations.missing_impact_all(_holes(d), "a")), _HOLES + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS before, count({c}) FILTER (a IS NOT NULL) AS after FROM d" for c in ("l_orderkey", "l_linenumber", "b", "c")))
 _add("drop_duplicates", "documents", lambda d: d.select("text").distinct().select(F.md5("text").alias("digest")), "SELECT DISTINCT md5(text) AS digest FROM documents")
 _add("downcast", "lineitem", lambda d: prepare.downcast(d.select("l_linenumber", "l_orderkey")).agg(F.max(F.typeof("l_linenumber")).alias("a"), F.sum("l_linenumber").alias("s")), "SELECT 'tinyint' AS a, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem")
 _add("insights", "lineitem", profile.insights)
@@ -176,6 +211,16 @@ def _ident(name: str, made: Callable[[], Column], sql: str) -> None:
     _add(f"id_{name}", "orders", lambda d: d.select("o_orderkey", identifiers.validate(name, made()).alias("ok")), sql)
 
 
+def _changed(number: str) -> str:
+    return number[:-1] + ("0" if number[-1] != "0" else "1")
+
+
+_CASES = [(n, x) for n, v in VALID.items() for x in (v, _changed(v))]
+_add(
+    "id_examples", "region",
+    lambda d: d.limit(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(x).alias("number"), identifiers.validate(n, F.lit(x)).alias("ok")) for n, x in _CASES])).alias("c")).select("c.*"),
+    "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{x}', {str(x == VALID[n]).lower()})" for n, x in _CASES) + ") AS t(kind, number, ok)",
+)
 _N16 = lambda: F.lpad(
     (F.col("o_orderkey") * 7919 + 40000000000000).cast("string"), 15, "0")
 _ident("imei", _N16, """

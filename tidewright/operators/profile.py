@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import distributions as D
 from ..functions.nulls import as_text, finite, is_numeric, is_time, real
@@ -19,23 +20,57 @@ def _c(name: str) -> Column:
 
 
 def numeric_aggregates(c: Column) -> dict[str, Column]:
-    """The moments and counts of a number; NaN is missing, infinities count but take no part in the rest."""
+    """The moments and counts of a number that need no look at distinct values; NaN is missing, infinities count but take no part in the rest."""
     r, x = real(c), finite(c)
-    q = F.percentile(x, F.array(*[F.lit(p) for p in QUANTILES]))
-    out = {
-        "count": F.count(r), "missing": F.count("*") - F.count(r), "distinct": F.count_distinct(r), "infinite": F.count(r) - F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x),
+    return {
+        "count": F.count(r), "missing": F.count("*") - F.count(r), "infinite": F.count(r) - F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x),
         "std": F.stddev_samp(x), "variance": F.var_samp(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x), "sum": F.avg(x) * F.count(r), "zeros": F.count_if(x == 0), "negatives": F.count_if(x < 0),
     }
-    return out | {f"q{round(100 * p):02d}": q[k] for k, p in enumerate(QUANTILES)}
+
+
+#: Into how many ranges of about equal size the values of a column are dealt to be ranked.
+RANGES = 64
+
+
+def counted_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, x, n): each distinct finite number of each column with its frequency, by one shuffle of partial counts for all columns."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), (finite(_c(c)) + 0.0).alias("x")) for i, c in enumerate(columns)])
+    return df.select(F.explode(cells).alias("v")).select("v.i", "v.x").where("x is not null").groupBy("i", "x").agg(F.count("*").alias("n"))
+
+
+def exact_quantiles(counted: DataFrame, probabilities: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(i, p, value): interpolated quantiles of counted values (i, x, n).
+
+    Values are dealt into ranges by approximate quantiles, ranges are summed, and values are ranked within their range only: no task or buffer holds a column.
+    """
+    splits = counted.groupBy("i").agg(F.approx_percentile("x", [k / RANGES for k in range(1, RANGES)], 1000).alias("splits"), F.sum("n").alias("total"))  # a row for each column
+    dealt = counted.join(F.broadcast(splits), "i").withColumn("range", F.size(F.filter("splits", lambda s: s < F.col("x")))).drop("splits")
+    sums = dealt.groupBy("i", "range").agg(F.sum("n").alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(W.partitionBy("i").orderBy("range").rowsBetween(W.unboundedPreceding, -1))).select("i", "range", F.coalesce("before", F.lit(0)).alias("before"))
+    up_to = F.col("before") + F.sum("n").over(W.partitionBy("i", "range").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    ranked = dealt.join(F.broadcast(before), ["i", "range"]).withColumn("up_to", up_to)  # RANGES rows for each column at most
+    wanted = F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("total") - 1)).alias("at")) for p in probabilities])
+    asked = ranked.withColumn("w", F.explode(F.filter(wanted, lambda w: (F.ceil(w["at"]) >= F.col("up_to") - F.col("n")) & (F.floor(w["at"]) < F.col("up_to")))))
+    holds = lambda rank: F.max(F.when((rank >= F.col("up_to") - F.col("n")) & (rank < F.col("up_to")), F.col("x")))
+    found = asked.groupBy("i", F.col("w.p").alias("p")).agg(F.first("w.at").alias("at"), holds(F.floor("w.at")).alias("low"), holds(F.ceil("w.at")).alias("high"))
+    return found.select("i", "p", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, metric, value) for numeric columns, in one aggregate over one scan."""
+    """(column, metric, value) for numeric columns: one aggregate for moments, and counted values for what needs distinct ones."""
     columns = columns or [f.name for f in df.schema if is_numeric(f.dataType)]
     made = {c: numeric_aggregates(_c(c)) for c in columns}
     row = df.agg(*[F.struct(*[v.cast("double").alias(k) for k, v in made[c].items()]).alias(f"c{i}") for i, c in enumerate(columns)])
-    items = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("metric"), F.col(f"c{i}")[k].alias("value")) for i, c in enumerate(columns) for k in made[c]]
-    return row.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    items = [F.struct(F.lit(i).alias("i"), F.lit(k).alias("metric"), F.col(f"c{i}")[k].alias("value")) for i, c in enumerate(columns) for k in made[c]]
+    moments = row.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    counted = counted_values(df, columns)
+    infinite = F.array(*[F.count_distinct(F.when(F.abs(real(_c(c))) == float("inf"), real(_c(c)))) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.lit(0).cast("long") for c in columns])
+    names = F.array(*[F.lit(c) for c in columns])
+    kinds = F.broadcast(df.agg(infinite.alias("k")).select(F.posexplode("k").alias("i", "k")))  # a row for each column
+    distinct = kinds.join(counted.groupBy("i").agg(F.count("*").alias("d")), "i", "left").select("i", F.lit("distinct").alias("metric"), (F.coalesce("d", F.lit(0)) + F.col("k")).cast("double").alias("value"))
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"), F.explode(F.array(*[F.lit(p) for p in QUANTILES])).alias("p"))
+    quantiles = F.broadcast(every).join(exact_quantiles(counted), ["i", "p"], "left").select("i", F.concat(F.lit("q"), F.lpad(F.round(F.col("p") * 100).cast("int").cast("string"), 2, "0")).alias("metric"), "value")
+    return moments.union(distinct).union(quantiles).select(F.get(names, F.col("i")).alias("column"), "metric", "value")
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None, largest: bool = True) -> DataFrame:
@@ -48,6 +83,28 @@ def value_counts(df: DataFrame, column: str, top: int | None = None, largest: bo
     return counted.orderBy(*order).limit(top) if top else counted.orderBy(*order)
 
 
+def top_groups(df: DataFrame, column: str, k: int) -> DataFrame:
+    """(value, count) of the k most frequent values and of those as frequent as the last of them."""
+    counted = df.select(as_text(_c(column), df.schema[column].dataType).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("count"))
+    least = counted.orderBy(F.desc("count")).limit(k).agg(F.min("count").alias("least"))
+    return counted.join(F.broadcast(least), F.col("count") >= F.col("least")).select("value", "count")  # one row
+
+
+def joined_values(df: DataFrame, by: str, column: str, separator: str = ",", most: int = 10_000) -> DataFrame:
+    """(value, joined): the distinct values of column in each group, joined in order; a group of more than most values raises an error."""
+    kind = df.schema[by].dataType
+    pairs = df.select(as_text(_c(by), kind).alias("value"), _c(column).cast("string").alias("v")).where("v is not null").distinct()
+    grouped = pairs.groupBy("value").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("v")).alias("vs"))
+    return grouped.select("value", F.when(F.col("n") > most, F.raise_error(F.lit("too many values to join"))).otherwise(F.array_join("vs", separator)).alias("joined"))
+
+
+def time_profile(df: DataFrame, column: str) -> DataFrame:
+    """count, missing, distinct, first and last day of a date or time column."""
+    c = _c(column)
+    day = lambda x: F.date_format(x, "yyyy-MM-dd")
+    return df.agg(F.count("*").alias("count"), (F.count("*") - F.count(c)).alias("missing"), F.count_distinct(c).alias("distinct"), day(F.min(c)).alias("first"), day(F.max(c)).alias("last"))
+
+
 def nominal_profile(df: DataFrame, column: str) -> DataFrame:
     """(metric, value): counts, lengths and letters of a text column, from its value counts."""
     kind = df.schema[column].dataType

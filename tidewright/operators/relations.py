@@ -106,6 +106,20 @@ def strongest(correlations: DataFrame, k: int | None = None, limits: tuple[float
     return correlations.where(F.col("correlation").between(*limits)) if limits else correlations
 
 
+def against_all(correlations: DataFrame, column: str) -> DataFrame:
+    """(column, correlation): the correlations of one column with every other."""
+    one = (F.col("x") == column) | (F.col("y") == column)
+    return correlations.where(one).select(F.when(F.col("x") == column, F.col("y")).otherwise(F.col("x")).alias("column"), "correlation")
+
+
+def missing_impact_all(df: DataFrame, column: str) -> DataFrame:
+    """(column, before, after): how many values of every other column there are, and remain once rows without column are dropped; one aggregate."""
+    others = [c for c in df.columns if c != column]
+    left = F.col(f"`{column}`").isNotNull()
+    row = df.agg(*[F.struct(F.count(F.col(f"`{c}`")).alias("before"), F.count(F.when(left, F.col(f"`{c}`"))).alias("after")).alias(f"c{i}") for i, c in enumerate(others)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}.before").alias("before"), F.col(f"c{i}.after").alias("after")) for i, c in enumerate(others)])).alias("x")).select("x.*")
+
+
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:
     """Slope and intercept of y on x, their correlation and the number of rows."""
     a, b = finite(_c(x)), finite(_c(y))

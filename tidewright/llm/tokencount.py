@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_of
 from .textsets import tidy
 
-NODES, WORD_BYTES, SHARED, MARK = 250_000, 16 << 20, 256, "▁"
+NODES, WORD_BYTES, SHARED, MARK = 600_000, 32 << 20, 256, "▁"
 
 
 def pieces(path: str) -> dict[str, float]:

@@ -40,7 +40,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
-#: The classifier, MinHash and BPE have no SQL; the tests hold each stage against a brute-force version.
+#: The classifier, MinHash and BPE have no SQL; tests/llm/test_pipeline.py holds each stage, on its own input, against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -230,7 +230,7 @@ def test_passages_repeated_across_documents_are_found(spark):
     passage, line = prose(60), prose(60)
     near = line.split()
     near[20] = "changed"
-    rows = [(1, prose(50) + " " + passage + " " + prose(30)), (2, prose(35) + " " + passage), (3, prose(80)), (4, prose(10) + "\n" + line), (5, line), (6, " ".join(near) + "\n" + prose(12)), (7, None), (8, ""), (None, passage), (9, prose(5) + " " + prose(30))]
+    rows = [(1, prose(50) + " before1 " + passage + " after1 " + prose(30)), (2, prose(35) + " before2 " + passage), (3, prose(80)), (4, prose(10) + "\n" + line), (5, line), (6, " ".join(near) + "\n" + prose(12)), (7, None), (8, ""), (None, passage), (9, prose(5) + " " + prose(30))]
     got = {r.doc_id: r for r in passages.document_repeats(frame(spark, rows)).collect()}
     assert set(got) == {1, 2, 4, 5, 6} and got[1].removed_words == 0 and got[4].removed_words == 0
     assert got[2].removed_words == 60 and got[5].removed_words == 60 and got[2].keepers == [1]

@@ -76,15 +76,51 @@ def test_distributions_against_known_values():
     assert [m[:2] for m in D.average_linkage(np.array([[0, 1, 5.0], [1, 0, 5.0], [5.0, 5.0, 0]]))] == [(0, 1), (2, 3)]
 
 
-def test_tau_b_against_all_pairs():
+def test_rank_correlations_against_all_pairs(spark, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(profile, "RANGES", 5)  # several ranges, of which some hold one frequent value
     rng = np.random.default_rng(1)
-    x, y = rng.integers(0, 6, 60), rng.integers(0, 9, 60)
-    pairs, counts = np.unique(np.stack([x, y], 1), axis=0, return_counts=True)
+    x = np.where(rng.random(400) < 0.4, 7.0, rng.integers(0, 40, 400).astype(float))
+    y = np.where(rng.random(400) < 0.3, -0.5, np.round(x / 3 + rng.normal(0, 4, 400), 1))
     s = np.sign(x[:, None] - x[None]) * np.sign(y[:, None] - y[None])
-    want = s.sum() / np.sqrt(float((np.sign(x[:, None] - x[None]) ** 2).sum()) * (np.sign(y[:, None] - y[None]) ** 2).sum())
-    assert abs(relations.tau_b(*pairs.astype(float).T, counts) - want) < 1e-12
+    tau = s.sum() / np.sqrt((np.sign(x[:, None] - x[None]) ** 2).sum() * (np.sign(y[:, None] - y[None]) ** 2).sum())
+    ranks = lambda v: (v[:, None] > v[None]).sum(1) + (v[:, None] == v[None]).sum(1) / 2
+    rho = np.corrcoef(ranks(x), ranks(y))[0, 1]
+    rows = [(float(a), float(b), 1.0) for a, b in zip(x, y, strict=True)] + [(None, 1.0, 1.0), (float("nan"), 2.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, same double")
+    assert abs(relations.kendall(df, ["a", "b"]).first().correlation - tau) < 1e-9
+    assert abs(relations.spearman(df, ["a", "b"]).first().correlation - rho) < 1e-9
+    assert relations.kendall(df, ["a", "same"]).first().correlation is None and relations.spearman(df, ["a", "same"]).first().correlation is None
+    assert relations.kendall(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_inversions():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    u, v, n = rng.integers(0, 9, 70), rng.integers(0, 9, 70), rng.integers(1, 5, 70)
+    want = sum(n[i] * n[j] for i in range(70) for j in range(70) if u[i] < u[j] and v[i] > v[j])
+    assert relations.inversions(u, v, n) == want
+
+
+def test_boxes_and_outliers_of_groups(spark):
+    rows = [(g, float(v)) for g, vs in {"a": [1, 2, 3, 4, 100], None: [5, 5, 5], "c": [7]}.items() for v in vs] + [("d", None), ("c", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: tuple(r)[1:] for r in profile.box(df, "x", ["g"]).collect()}
+    assert got == {"a": (2, 3, 4, 1, 4, 1), None: (5, 5, 5, 5, 5, 0), "c": (7, 7, 7, 7, 7, 0)}
+    assert profile.box(df.limit(0), "x").count() == 0
+    assert [r.x for r in relations.numeric_outliers(df, "x").collect()] == [100.0]
+    assert [round(r.actual, 6) for r in profile.normal_quantiles(df.where("g = 'a'"), "x").orderBy("p").collect()][49] == 3
+
+
+def test_near_values_against_all_pairs(spark):
+    words = ["kitten", "kittens", "mitten", "sitting", "kit", "kitt", "abcdefgh", "abcdefg", "abxdefgh", "abcdefghij", None, "kitten"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    runs = lambda w: {w[i : i + 3] for i in range(len(w) - 2)} if len(w) > 3 else {w}
+    got = {(r.a, r.b) for r in prepare.near_values(df, "w", 2, 3).collect()}
+    every = spark.createDataFrame([(a, b) for a in set(words) - {None} for b in set(words) - {None} if a < b and runs(a) & runs(b)], "a string, b string")
+    assert got == {(r.a, r.b) for r in every.where(F.levenshtein("a", "b") <= 2).collect()} and got
 
 
 def test_profiles_of_odd_columns(spark):

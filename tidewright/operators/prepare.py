@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import is_null, is_numeric, to_null
@@ -56,12 +57,20 @@ def cluster_by_key(df: DataFrame, column: str, key: Column) -> DataFrame:
 
 
 def near_values(df: DataFrame, column: str, radius: int = 2, block: int = 6) -> DataFrame:
-    """(a, b, distance): pairs of distinct values that share a run of block characters and are within radius edits."""
+    """(a, b, distance): pairs of distinct values that share a run of block characters and are within radius edits.
+
+    An edit changes block runs at most, so of two near values each has a shared run among its radius * block + 1 rarest: only those are joined on.
+    """
     values = df.select(F.col(f"`{column}`").alias("v")).where("v is not null").distinct()
     runs = F.when(F.char_length("v") > block, F.transform(F.sequence(F.lit(1), F.char_length("v") - block + 1), lambda i: F.substring(F.col("v"), i, F.lit(block)))).otherwise(F.array(F.col("v")))
     blocks = values.select("v", F.explode(F.array_distinct(runs)).alias("g"))
-    other = blocks.select(F.col("v").alias("b"), "g")
-    pairs = blocks.withColumnRenamed("v", "a").join(other, "g").where("a < b").select("a", "b").distinct()
+    often = blocks.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    rarest = F.row_number().over(W.partitionBy("v").orderBy("n", "g"))  # as many runs as the value has
+    shared = blocks.join(often, "g").withColumn("k", rarest)
+    kept = shared.where(F.col("k") <= radius * block + 1).select("v", "g")
+    other = kept.select(F.col("v").alias("b"), "g")
+    near = (F.col("a") < F.col("b")) & (F.abs(F.char_length("a") - F.char_length("b")) <= radius)
+    pairs = kept.withColumnRenamed("v", "a").join(other, "g").where(near).select("a", "b").distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b", radius)).where("distance >= 0")
 
 

@@ -32,28 +32,50 @@ def numeric_aggregates(c: Column) -> dict[str, Column]:
 RANGES = 64
 
 
-def counted_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, x, n): each distinct finite number of each column with its frequency, by one shuffle of partial counts for all columns."""
+def counted_values(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """(i, g, x, n): each distinct finite number of each column, and of each group, with its frequency, by one shuffle of partial counts for all columns.
+
+    g is a struct, so that null groups are equal to one another in joins.
+    """
     cells = F.array(*[F.struct(F.lit(i).alias("i"), (finite(_c(c)) + 0.0).alias("x")) for i, c in enumerate(columns)])
-    return df.select(F.explode(cells).alias("v")).select("v.i", "v.x").where("x is not null").groupBy("i", "x").agg(F.count("*").alias("n"))
+    group = F.struct(*[_c(b).alias(b) for b in by]) if by else F.struct(F.lit(0).alias("all"))
+    return df.select(group.alias("g"), F.explode(cells).alias("v")).select("v.i", "g", "v.x").where("x is not null").groupBy("i", "g", "x").agg(F.count("*").alias("n"))
 
 
-def exact_quantiles(counted: DataFrame, probabilities: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """(i, p, value): interpolated quantiles of counted values (i, x, n).
+def value_splits(counted: DataFrame, key: str = "i", x: str = "x", name: str = "splits") -> DataFrame:
+    """(key, splits): values that cut those of each key into RANGES ranges of about equal size; a row for each key."""
+    return counted.groupBy(key).agg(F.array_distinct(F.approx_percentile(x, [k / RANGES for k in range(1, RANGES)], 1000)).alias(name))
+
+
+def placed_values(counted: DataFrame) -> DataFrame:
+    """counted values (i, g, x, n) with below, the number of smaller ones of the same column and group, and the group's total.
 
-    Values are dealt into ranges by approximate quantiles, ranges are summed, and values are ranked within their range only: no task or buffer holds a column.
+    Values are dealt into ranges common to all groups of a column (a group large enough to matter has its share in all of them), ranges are summed,
+    and values are placed within their range only: no task or buffer holds a column.
     """
-    splits = counted.groupBy("i").agg(F.approx_percentile("x", [k / RANGES for k in range(1, RANGES)], 1000).alias("splits"), F.sum("n").alias("total"))  # a row for each column
-    dealt = counted.join(F.broadcast(splits), "i").withColumn("range", F.size(F.filter("splits", lambda s: s < F.col("x")))).drop("splits")
-    sums = dealt.groupBy("i", "range").agg(F.sum("n").alias("s"))
-    before = sums.withColumn("before", F.sum("s").over(W.partitionBy("i").orderBy("range").rowsBetween(W.unboundedPreceding, -1))).select("i", "range", F.coalesce("before", F.lit(0)).alias("before"))
-    up_to = F.col("before") + F.sum("n").over(W.partitionBy("i", "range").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    ranked = dealt.join(F.broadcast(before), ["i", "range"]).withColumn("up_to", up_to)  # RANGES rows for each column at most
+    dealt = counted.join(F.broadcast(value_splits(counted)), "i").withColumn("range", F.size(F.filter("splits", lambda s: s < F.col("x")))).drop("splits")
+    sums = dealt.groupBy("i", "g", "range").agg(F.sum("n").alias("s"))
+    group = W.partitionBy("i", "g")
+    before = F.coalesce(F.sum("s").over(group.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("i", "g", "range", before.alias("before"), F.sum("s").over(group).alias("total"))  # RANGES rows for each group at most
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("i", "g", "range").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(sums, ["i", "g", "range"]).withColumn("below", F.col("before") + inside).drop("range", "before")
+
+
+def exact_quantiles(counted: DataFrame, probabilities: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(i, g, p, value): interpolated quantiles of counted values (i, g, x, n)."""
     wanted = F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("total") - 1)).alias("at")) for p in probabilities])
-    asked = ranked.withColumn("w", F.explode(F.filter(wanted, lambda w: (F.ceil(w["at"]) >= F.col("up_to") - F.col("n")) & (F.floor(w["at"]) < F.col("up_to")))))
-    holds = lambda rank: F.max(F.when((rank >= F.col("up_to") - F.col("n")) & (rank < F.col("up_to")), F.col("x")))
-    found = asked.groupBy("i", F.col("w.p").alias("p")).agg(F.first("w.at").alias("at"), holds(F.floor("w.at")).alias("low"), holds(F.ceil("w.at")).alias("high"))
-    return found.select("i", "p", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
+    up_to = F.col("below") + F.col("n")
+    asked = placed_values(counted).withColumn("w", F.explode(F.filter(wanted, lambda w: (F.ceil(w["at"]) >= F.col("below")) & (F.floor(w["at"]) < up_to))))
+    holds = lambda rank: F.max(F.when((rank >= F.col("below")) & (rank < up_to), F.col("x")))
+    found = asked.groupBy("i", "g", F.col("w.p").alias("p")).agg(F.first("w.at").alias("at"), holds(F.floor("w.at")).alias("low"), holds(F.ceil("w.at")).alias("high"))
+    return found.select("i", "g", "p", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
+
+
+def median(df: DataFrame, x: Column) -> DataFrame:
+    """(median): one row, null without finite values."""
+    found = exact_quantiles(counted_values(df.select(x.alias("x")), ["x"]), (0.5,))
+    return found.agg(F.max("value").alias("median"))
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -69,7 +91,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     kinds = F.broadcast(df.agg(infinite.alias("k")).select(F.posexplode("k").alias("i", "k")))  # a row for each column
     distinct = kinds.join(counted.groupBy("i").agg(F.count("*").alias("d")), "i", "left").select("i", F.lit("distinct").alias("metric"), (F.coalesce("d", F.lit(0)) + F.col("k")).cast("double").alias("value"))
     every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"), F.explode(F.array(*[F.lit(p) for p in QUANTILES])).alias("p"))
-    quantiles = F.broadcast(every).join(exact_quantiles(counted), ["i", "p"], "left").select("i", F.concat(F.lit("q"), F.lpad(F.round(F.col("p") * 100).cast("int").cast("string"), 2, "0")).alias("metric"), "value")
+    quantiles = F.broadcast(every).join(exact_quantiles(counted).drop("g"), ["i", "p"], "left").select("i", F.concat(F.lit("q"), F.lpad(F.round(F.col("p") * 100).cast("int").cast("string"), 2, "0")).alias("metric"), "value")
     return moments.union(distinct).union(quantiles).select(F.get(names, F.col("i")).alias("column"), "metric", "value")
 
 
@@ -158,16 +180,17 @@ def histogram(df: DataFrame, column: str, bins: int = 50, by: str | None = None,
 
 
 def box(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """q1, median, q3, whiskers (the extremes within 1.5 IQR of the quartiles) and the number of outliers, for each group."""
+    """q1, median, q3, whiskers (the extremes within 1.5 IQR of the quartiles) and the number of outliers, for each group; all from counted values."""
     by = by or []
-    rows = df.select(*[_c(b).alias(b) for b in by], finite(_c(column)).alias("x")).where("x is not null")
-    q = rows.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*[F.col(b).alias(f"q_{b}") for b in by], F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    on = reduce(lambda a, b: a & b, [rows[b].eqNullSafe(q[f"q_{b}"]) for b in by], F.lit(True))
-    joined = rows.join(F.broadcast(q), on) if not by else rows.join(q, on)
+    counted = counted_values(df, [column], by)
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    q = exact_quantiles(counted, (0.25, 0.5, 0.75)).groupBy("g").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("x").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
-    return joined.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("outliers"))
+    low, high = F.min(F.when(inside, F.col("x"))), F.max(F.when(inside, F.col("x")))
+    outliers = F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0))
+    out = counted.join(q, "g").groupBy("g", "q1", "median", "q3").agg(low.alias("low"), high.alias("high"), outliers.alias("outliers"))
+    return out.select(*[F.col("g")[b].alias(b) for b in by], "q1", "median", "q3", "low", "high", "outliers")
 
 
 def sample(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
@@ -189,9 +212,10 @@ def normal_quantiles(df: DataFrame, column: str) -> DataFrame:
 
     ps = [k / 100 for k in range(1, 100)]
     x = finite(_c(column))
-    row = df.agg(F.percentile(x, F.array(*[F.lit(p) for p in ps])).alias("q"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
-    z = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(NormalDist().inv_cdf(p)).alias("z")) for p in ps])
-    return row.select("q", "m", "s", F.posexplode(z).alias("k", "t")).select("t.p", F.col("q")[F.col("k")].alias("actual"), (F.col("m") + F.col("s") * F.col("t.z")).alias("expected"))
+    moments = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
+    z = F.element_at(F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in ps]), F.round(F.col("p") * 100).cast("int"))
+    found = exact_quantiles(counted_values(df, [column]), tuple(ps))
+    return found.join(F.broadcast(moments), how="cross").select("p", F.col("value").alias("actual"), (F.col("m") + F.col("s") * z).alias("expected"))  # one row
 
 
 def overview(df: DataFrame) -> DataFrame:

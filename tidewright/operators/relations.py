@@ -5,13 +5,14 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions.nulls import finite, is_numeric, real
-from .profile import _c, box, histogram, value_counts
+from .profile import _c, box, histogram, median, placed_values, value_counts, value_splits
 
 
 def _corr(a: Column, b: Column) -> Column:
@@ -35,68 +36,86 @@ def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _long(df.agg(*[_corr(F.when(finite(_c(b)).isNotNull(), finite(_c(a))), F.when(finite(_c(a)).isNotNull(), finite(_c(b)))).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]), pairs)
 
 
-def average_ranks(values: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
-    """Adds the average rank of x within by. Ranks come from counts of distinct values, so repeated ones cost nothing."""
-    counts = values.groupBy(*by, x).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(W.partitionBy(*by).orderBy(x).rowsBetween(W.unboundedPreceding, -1)) if by else F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy(x).rowsBetween(W.unboundedPreceding, -1))
-    ranks = counts.withColumn(out, F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    return values.join(ranks, [*by, x])
+def _counted_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(i, u, v, n): each distinct pair of values of the i-th pair of columns with its frequency."""
+    cells = [F.struct(F.lit(i).alias("i"), (real(_c(a)) + 0.0).alias("u"), (real(_c(b)) + 0.0).alias("v")) for i, (a, b) in enumerate(pairs)]
+    rows = df.select(F.explode(F.array(*cells)).alias("z")).select("z.*").where("u is not null and v is not null")
+    return rows.groupBy("i", "u", "v").agg(F.count("*").alias("n"))
+
+
+def _named(found: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """found (i, correlation) by the names of the i-th pair."""
+    names = F.get(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs]), F.col("i"))
+    return found.select(names["x"].alias("x"), names["y"].alias("y"), "correlation")
+
+
+def _ranks(counted: DataFrame, side: str) -> DataFrame:
+    """(i, side, rank from the middle of all, n): average ranks, counted from 0 at the mean rank."""
+    values = counted.groupBy("i", F.col(side).alias("x")).agg(F.sum("n").alias("n")).withColumn("g", F.struct(F.lit(0).alias("all")))
+    rank = F.col("below") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
+    return placed_values(values).select("i", F.col("x").alias(side), rank.alias(f"r{side}"))
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(x, y, correlation) of ranks, for each pair over the rows that have both."""
+    """(x, y, correlation) of average ranks, for each pair over the rows that have both; null if one column is constant. Ranks come from counted values."""
     _, pairs = _pairs(df, columns)
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), real(_c(a)).alias("u"), real(_c(b)).alias("v")) for a, b in pairs])).alias("z")).select("z.*").where("u is not null and v is not null")
-    ranked = average_ranks(average_ranks(rows, ["x", "y"], "u", "ru"), ["x", "y"], "v", "rv")
-    return ranked.groupBy("x", "y").agg(_corr(F.col("ru"), F.col("rv")).alias("correlation"))
-
-
-def tau_b(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-    """Kendall's tau-b of weighted distinct pairs, by counting inversions while merging."""
-    order = np.lexsort((y, x))
-    x, y, n = x[order], y[order], n[order].astype(float)
-    total = n.sum()
-    ties = lambda keys: sum(w * (w - 1) / 2 for w in np.bincount(np.unique(keys, return_inverse=True)[1], n))
-    tx, ty, txy = ties(x), ties(y), float((n * (n - 1) / 2).sum())
-    places = np.unique(y, return_inverse=True)[1]
-    tree = np.zeros(places.max() + 2)
-    against, seen = 0.0, 0.0
-    for group in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1):
-        for k in group:
-            i, below = places[k] + 1, 0.0
-            while i:
-                below += tree[i]
-                i -= i & -i
-            against += n[k] * (seen - below)
-        for k in group:
-            i = places[k] + 1
-            seen += n[k]
-            while i < len(tree):
-                tree[i] += n[k]
-                i += i & -i
-    pairs = total * (total - 1) / 2
-    below = (pairs - tx) * (pairs - ty)
-    return float("nan") if below <= 0 else (pairs - tx - ty + txy - 2 * against) / below**0.5
-
-
-def kendall(df: DataFrame, columns: list[str] | None = None, distinct: int = 2_000_000) -> DataFrame:
-    """(x, y, correlation): tau-b of each pair from its counted distinct value pairs, one task for each pair of columns.
-
-    distinct bounds what such a task may hold; a pair of columns with more raises and should be sampled or rounded first.
+    counted = _counted_pairs(df, pairs)
+    ranked = counted.join(_ranks(counted, "u"), ["i", "u"]).join(_ranks(counted, "v"), ["i", "v"])
+    weighted = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    found = ranked.groupBy("i").agg(F.try_divide(weighted("ru", "rv"), F.sqrt(weighted("ru", "ru")) * F.sqrt(weighted("rv", "rv"))).alias("correlation"))
+    return _named(found, pairs)
+
+
+def inversions(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> float:
+    """The weight of pairs with u below and v above: sum of n_a * n_b over u_a < u_b and v_a > v_b.
+
+    Points are put in the order of u, equal ones by v. For each bit of v's rank, from the highest on, points that share all higher bits
+    stay in that order together, and ones before zeros among them are inversions.
     """
-    _, pairs = _pairs(df, columns)
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), real(_c(a)).alias("u"), real(_c(b)).alias("v")) for a, b in pairs])).alias("z")).select("z.*").where("u is not null and v is not null")
-    counted = rows.groupBy("x", "y", "u", "v").agg(F.count("*").alias("n"))
-    most = counted.groupBy("x", "y").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
-    if most > distinct:
-        raise ValueError(f"a pair of columns has {most} distinct value pairs; sample or round first")
+    order = np.lexsort((v, u))
+    rank, w = np.unique(v[order], return_inverse=True)[1], n[order].astype(float)
+    total = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        block = rank >> (bit + 1)
+        by_block = np.argsort(block, kind="stable")
+        ones, weight, block = (rank[by_block] >> bit) & 1, w[by_block], block[by_block]
+        seen = np.cumsum(weight * ones)
+        start = np.searchsorted(block, block)
+        before = seen - np.where(start > 0, seen[start - 1], 0.0)
+        total += float((weight * before)[ones == 0].sum())
+    return total
+
+
+def _inverted(points: DataFrame, by: list[str], u: str, v: str) -> DataFrame:
+    """(i, d): the weight of inversions within each group of points."""
 
     def one(key, pdf):
-        import pandas as pd
+        return pd.DataFrame({"i": [key[0]], "d": [inversions(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["n"].to_numpy())]})
+
+    return points.select(*by, F.col(u).cast("double").alias("u"), F.col(v).cast("double").alias("v"), "n").groupBy(*by).applyInPandas(one, "i int, d double")
 
-        return pd.DataFrame({"x": [key[0]], "y": [key[1]], "correlation": [tau_b(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["n"].to_numpy())]})
 
-    return counted.groupBy("x", "y").applyInPandas(one, "x string, y string, correlation double")
+def kendall(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(x, y, correlation): tau-b of each pair of columns, over the rows that have both; null if one column is constant.
+
+    Discordant pairs are counted by ranges: u and v are cut into ranges of about equal size, with a range of its own for each value that cuts. Two points lie
+    in the same range of u (counted there), else in the same range of v (counted there, by the ranges of u), else in neither (counted
+    from the table of ranges). Points of one value never invert, so no task holds more than about one range, whatever value is frequent.
+    """
+    _, pairs = _pairs(df, columns)
+    counted = _counted_pairs(df, pairs)
+    ranges = lambda x, splits: F.size(F.filter(splits, lambda s: s < x)) * 2 + F.array_contains(splits, x).cast("int")
+    dealt = counted.join(F.broadcast(value_splits(counted, "i", "u", "su")), "i").join(F.broadcast(value_splits(counted, "i", "v", "sv")), "i")  # a row for each pair
+    dealt = dealt.select("i", "u", "v", "n", ranges(F.col("u"), F.col("su")).alias("ru"), ranges(F.col("v"), F.col("sv")).alias("rv"))
+    same_u = _inverted(dealt.where("ru % 2 = 0"), ["i", "ru"], "u", "v")
+    same_v = _inverted(dealt.where("rv % 2 = 0").groupBy("i", "rv", "ru", "v").agg(F.sum("n").alias("n")), ["i", "rv"], "ru", "v")
+    apart = _inverted(dealt.groupBy("i", "ru", "rv").agg(F.sum("n").alias("n")), ["i"], "ru", "rv")  # at most (2 * RANGES) ** 2 points
+    against = same_u.union(same_v).union(apart).groupBy("i").agg(F.sum("d").alias("against"))
+    n = F.col("n").cast("double")
+    tied = lambda *by: counted.groupBy("i", *by).agg(F.sum("n").alias("n")).groupBy("i").agg(F.sum(n * (n - 1) / 2).alias("t" + "".join(by)))
+    sums = tied().join(tied("u"), "i").join(tied("v"), "i").join(tied("u", "v"), "i").join(against, "i", "left")
+    score = F.col("t") - F.col("tu") - F.col("tv") + F.col("tuv") - 2 * F.coalesce("against", F.lit(0.0))
+    return _named(sums.select("i", F.try_divide(score, F.sqrt(F.col("t") - F.col("tu")) * F.sqrt(F.col("t") - F.col("tv"))).alias("correlation")), pairs)
 
 
 def strongest(correlations: DataFrame, k: int | None = None, limits: tuple[float, float] | None = None) -> DataFrame:
@@ -251,9 +270,9 @@ def diff_boxes(frames: dict[str, DataFrame], column: str) -> DataFrame:
 def numeric_outliers(df: DataFrame, column: str, limit: float = 3.5, two_sided: bool = True) -> DataFrame:
     """The rows whose modified z-score, 0.6745 * (x - median) / MAD, is over limit."""
     x = finite(_c(column))
-    middle = df.agg(F.percentile(x, F.lit(0.5)).alias("__median"))
+    middle = median(df, x).withColumnRenamed("median", "__median")
     rows = df.withColumn("__x", x).join(F.broadcast(middle), how="cross")  # one row
-    mad = rows.agg(F.percentile(F.abs(F.col("__x") - F.col("__median")), F.lit(0.5)).alias("__mad"))
+    mad = median(rows, F.abs(F.col("__x") - F.col("__median"))).withColumnRenamed("median", "__mad")
     z = F.try_divide(0.6745 * (F.col("__x") - F.col("__median")), F.col("__mad"))
     out = rows.join(F.broadcast(mad), how="cross").withColumn("z", z)
     return out.where((F.abs("z") if two_sided else F.col("z")) > limit).drop("__x", "__median", "__mad")

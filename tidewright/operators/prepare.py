@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import is_null, is_numeric, to_null
+from .profile import counted_values, exact_quantiles, value_splits
 from .text import clean_headers
 
 
@@ -80,22 +81,25 @@ def merge_values(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFra
 
 
 class Prepare:
-    """Imputation, encoding, variance threshold and scaling, fitted in one aggregate over the training rows."""
+    """Imputation, encoding, variance threshold and scaling, fitted by aggregates over the training rows; only what the options ask for is computed.
 
-    def __init__(self, target: str, cat_imputation: str = "constant", fill: str = "missing_value", num_imputation: str = "mean", cat_encoding: str = "one_hot", variance: float | None = None, num_scaling: str = "standardize") -> None:
+    One-hot encoding raises ValueError for a column of more than categories values.
+    """
+
+    def __init__(self, target: str, cat_imputation: str = "constant", fill: str = "missing_value", num_imputation: str = "mean", cat_encoding: str = "one_hot", variance: float | None = None, num_scaling: str = "standardize", categories: int = 10_000) -> None:
         self.target, self.cat, self.fill, self.num, self.encoding, self.variance, self.scaling = target, cat_imputation, fill, num_imputation, cat_encoding, variance, num_scaling
+        self.categories = categories
         self.columns: dict[str, Column | None] = {}
 
     def fit(self, df: DataFrame) -> Prepare:
         numbers = [f.name for f in df.schema if is_numeric(f.dataType) and f.name != self.target]
         texts = [f.name for f in df.schema if f.dataType.simpleString() == "string" and f.name != self.target]
-        aggs, x = [], lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
-        for i, c in enumerate(numbers):
-            aggs += [F.struct(F.avg(x(c)).alias("mean"), F.percentile(x(c), F.lit(0.5)).alias("median"), F.mode(x(c), deterministic=True).alias("most_frequent"), F.min(x(c)).alias("lo"), F.max(x(c)).alias("hi"), F.count(x(c)).alias("n"), F.count("*").alias("rows")).alias(f"n{i}")]
-        for i, c in enumerate(texts):
-            t = to_null(F.col(f"`{c}`"))
-            aggs += [F.struct(F.mode(t, deterministic=True).alias("most_frequent"), F.count(t).alias("n"), F.count("*").alias("rows"), F.array_sort(F.collect_set(t)).alias("values")).alias(f"t{i}")]
-        row = df.agg(*aggs).first() if aggs else None
+        x = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+        seen = lambda c: [F.count(c).alias("n"), F.count("*").alias("rows")]
+        aggs = [F.struct(*seen(x(c)), *([F.avg(x(c)).alias("mean")] if self.num == "mean" else [])).alias(f"n{i}") for i, c in enumerate(numbers)]
+        aggs += [F.struct(*seen(to_null(F.col(f"`{c}`")))).alias(f"t{i}") for i, c in enumerate(texts)]
+        row = {k: v.asDict() for k, v in df.agg(*aggs).first().asDict().items()} if aggs else {}
+        self._fit_counted(df, numbers, texts, row)
         filled = {}
         for i, c in enumerate(numbers):
             s = row[f"n{i}"]
@@ -116,12 +120,45 @@ class Prepare:
             if self.cat == "drop" and s["n"] < s["rows"]:
                 self.columns[c] = None
                 continue
-            fill = self.fill if self.cat == "constant" else s["most_frequent"]
+            fill = s["most_frequent"] if self.cat == "most_frequent" else self.fill
             v = F.coalesce(to_null(F.col(f"`{c}`")), F.lit(fill))
+            if self.encoding != "one_hot":
+                self.columns[c] = v
+                continue
             values = sorted({*s["values"], *([fill] if s["n"] < s["rows"] and fill is not None else [])})
-            self.columns[c] = F.array(*[(v == k).cast("double") for k in values]) if self.encoding == "one_hot" else v
+            self.columns[c] = F.array(*[(v == k).cast("double") for k in values])
         return self
 
+    def _fit_counted(self, df: DataFrame, numbers: list[str], texts: list[str], row: dict[str, dict]) -> None:
+        """Adds to row what only some options need, from counted values: medians, most frequent values, and the values of each text column."""
+        if self.num == "median" and numbers:
+            found = {r["i"]: r["value"] for r in exact_quantiles(counted_values(df, numbers), value_splits(df, numbers), (0.5,)).collect()}  # a row for each column
+            for i in range(len(numbers)):
+                row[f"n{i}"]["median"] = found.get(i)
+        if self.num == "most_frequent" and numbers:
+            self._most_frequent(counted_values(df, numbers).drop("g"), row, "n")
+        if texts and (self.encoding == "one_hot" or self.cat == "most_frequent"):
+            cells = F.array(*[F.struct(F.lit(i).alias("i"), to_null(F.col(f"`{c}`")).alias("x")) for i, c in enumerate(texts)])
+            counted = df.select(F.explode(cells).alias("v")).select("v.*").where("x is not null").groupBy("i", "x").agg(F.count("*").alias("n"))
+            if self.cat == "most_frequent":
+                self._most_frequent(counted, row, "t")
+            if self.encoding == "one_hot":
+                for i, c in enumerate(texts):
+                    row[f"t{i}"]["values"] = []
+                most = counted.groupBy("i").agg(F.count("*").alias("k")).where(F.col("k") > self.categories).first()
+                if most is not None:
+                    raise ValueError(f"{texts[most['i']]} has {most['k']} values, more than the {self.categories} that one-hot encoding takes")
+                for r in counted.select("i", "x").collect():  # at most categories rows for each column
+                    row[f"t{r['i']}"]["values"].append(r["x"])
+
+    @staticmethod
+    def _most_frequent(counted: DataFrame, row: dict[str, dict], kind: str) -> None:
+        for key in row:
+            if key[0] == kind:
+                row[key]["most_frequent"] = None
+        for r in counted.groupBy("i").agg(F.min_by("x", F.struct(-F.col("n"), "x")).alias("x")).collect():  # a row for each column
+            row[f"{kind}{r['i']}"]["most_frequent"] = r["x"]
+
     def transform(self, df: DataFrame) -> DataFrame:
         return df.select(*[self.columns[c].alias(c) if self.columns.get(c) is not None else F.col(f"`{c}`") for c in df.columns if c not in self.columns or self.columns[c] is not None])
 

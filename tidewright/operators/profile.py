@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import distributions as D
-from ..functions.nulls import as_text, finite, is_numeric, is_time, real
+from ..functions.nulls import as_text, finite, is_numeric, is_time, let, real
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -42,18 +43,41 @@ def counted_values(df: DataFrame, columns: list[str], by: list[str] = ()) -> Dat
     return df.select(group.alias("g"), F.explode(cells).alias("v")).select("v.i", "g", "v.x").where("x is not null").groupBy("i", "g", "x").agg(F.count("*").alias("n"))
 
 
-def value_splits(counted: DataFrame, key: str = "i", x: str = "x", name: str = "splits") -> DataFrame:
-    """(key, splits): values that cut those of each key into RANGES ranges of about equal size; a row for each key."""
-    return counted.groupBy(key).agg(F.array_distinct(F.approx_percentile(x, [k / RANGES for k in range(1, RANGES)], 1000)).alias(name))
+def value_splits(df: DataFrame, columns: list[str]) -> list[list[float]]:
+    """For each column, values that cut its finite numbers into RANGES ranges of about equal size; one aggregate, which gives RANGES numbers a column.
+
+    They are approximate and differ from run to run, so they are fetched once: all that is placed by them is placed by the same ones.
+    """
+    cuts = [k / RANGES for k in range(1, RANGES)]
+    row = df.agg(*[F.approx_percentile(finite(_c(c)) + 0.0, cuts, 1000).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    return [sorted(set(s or [])) for s in row]
+
+
+def below_splits(x: Column, splits: Column) -> Column:
+    """How many of the ascending splits are below x, by halving: places beyond the end are null, which is not below."""
+    step, found = 1 << (RANGES.bit_length() - 1), F.lit(0)
+    while step:
+        found = let(found, _advance(x, splits, step))
+        step >>= 1
+    return found
+
+
+def _advance(x: Column, splits: Column, step: int) -> Callable[[Column], Column]:
+    return lambda i: i + F.when(F.get(splits, i + (step - 1)) < x, step).otherwise(0)
+
+
+def splits_of(splits: list[list[float]], i: Column) -> Column:
+    """The splits of the i-th column."""
+    return F.get(F.array(*[F.array(*[F.lit(x) for x in s]).cast("array<double>") for s in splits]), i)
 
 
-def placed_values(counted: DataFrame) -> DataFrame:
+def placed_values(counted: DataFrame, splits: list[list[float]]) -> DataFrame:
     """counted values (i, g, x, n) with below, the number of smaller ones of the same column and group, and the group's total.
 
     Values are dealt into ranges common to all groups of a column (a group large enough to matter has its share in all of them), ranges are summed,
     and values are placed within their range only: no task or buffer holds a column.
     """
-    dealt = counted.join(F.broadcast(value_splits(counted)), "i").withColumn("range", F.size(F.filter("splits", lambda s: s < F.col("x")))).drop("splits")
+    dealt = counted.withColumn("range", below_splits(F.col("x"), splits_of(splits, F.col("i"))))
     sums = dealt.groupBy("i", "g", "range").agg(F.sum("n").alias("s"))
     group = W.partitionBy("i", "g")
     before = F.coalesce(F.sum("s").over(group.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -62,11 +86,11 @@ def placed_values(counted: DataFrame) -> DataFrame:
     return dealt.join(sums, ["i", "g", "range"]).withColumn("below", F.col("before") + inside).drop("range", "before")
 
 
-def exact_quantiles(counted: DataFrame, probabilities: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """(i, g, p, value): interpolated quantiles of counted values (i, g, x, n)."""
+def exact_quantiles(counted: DataFrame, splits: list[list[float]], probabilities: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(i, g, p, value): interpolated quantiles of counted values (i, g, x, n), ranked within the ranges between splits."""
     wanted = F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("total") - 1)).alias("at")) for p in probabilities])
     up_to = F.col("below") + F.col("n")
-    asked = placed_values(counted).withColumn("w", F.explode(F.filter(wanted, lambda w: (F.ceil(w["at"]) >= F.col("below")) & (F.floor(w["at"]) < up_to))))
+    asked = placed_values(counted, splits).withColumn("w", F.explode(F.filter(wanted, lambda w: (F.ceil(w["at"]) >= F.col("below")) & (F.floor(w["at"]) < up_to))))
     holds = lambda rank: F.max(F.when((rank >= F.col("below")) & (rank < up_to), F.col("x")))
     found = asked.groupBy("i", "g", F.col("w.p").alias("p")).agg(F.first("w.at").alias("at"), holds(F.floor("w.at")).alias("low"), holds(F.ceil("w.at")).alias("high"))
     return found.select("i", "g", "p", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
@@ -74,7 +98,8 @@ def exact_quantiles(counted: DataFrame, probabilities: tuple[float, ...] = QUANT
 
 def median(df: DataFrame, x: Column) -> DataFrame:
     """(median): one row, null without finite values."""
-    found = exact_quantiles(counted_values(df.select(x.alias("x")), ["x"]), (0.5,))
+    rows = df.select(x.alias("x"))
+    found = exact_quantiles(counted_values(rows, ["x"]), value_splits(rows, ["x"]), (0.5,))
     return found.agg(F.max("value").alias("median"))
 
 
@@ -86,12 +111,13 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     items = [F.struct(F.lit(i).alias("i"), F.lit(k).alias("metric"), F.col(f"c{i}")[k].alias("value")) for i, c in enumerate(columns) for k in made[c]]
     moments = row.select(F.explode(F.array(*items)).alias("x")).select("x.*")
     counted = counted_values(df, columns)
-    infinite = F.array(*[F.count_distinct(F.when(F.abs(real(_c(c))) == float("inf"), real(_c(c)))) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.lit(0).cast("long") for c in columns])
+    has = lambda c, x: F.coalesce(F.bool_or(real(_c(c)) == x), F.lit(False)).cast("long")
+    infinite = F.array(*[has(c, float("inf")) + has(c, float("-inf")) for c in columns])
     names = F.array(*[F.lit(c) for c in columns])
     kinds = F.broadcast(df.agg(infinite.alias("k")).select(F.posexplode("k").alias("i", "k")))  # a row for each column
     distinct = kinds.join(counted.groupBy("i").agg(F.count("*").alias("d")), "i", "left").select("i", F.lit("distinct").alias("metric"), (F.coalesce("d", F.lit(0)) + F.col("k")).cast("double").alias("value"))
     every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"), F.explode(F.array(*[F.lit(p) for p in QUANTILES])).alias("p"))
-    quantiles = F.broadcast(every).join(exact_quantiles(counted).drop("g"), ["i", "p"], "left").select("i", F.concat(F.lit("q"), F.lpad(F.round(F.col("p") * 100).cast("int").cast("string"), 2, "0")).alias("metric"), "value")
+    quantiles = F.broadcast(every).join(exact_quantiles(counted, value_splits(df, columns)).drop("g"), ["i", "p"], "left").select("i", F.concat(F.lit("q"), F.lpad(F.round(F.col("p") * 100).cast("int").cast("string"), 2, "0")).alias("metric"), "value")
     return moments.union(distinct).union(quantiles).select(F.get(names, F.col("i")).alias("column"), "metric", "value")
 
 
@@ -184,7 +210,7 @@ def box(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     by = by or []
     counted = counted_values(df, [column], by)
     at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
-    q = exact_quantiles(counted, (0.25, 0.5, 0.75)).groupBy("g").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+    q = exact_quantiles(counted, value_splits(df, [column]), (0.25, 0.5, 0.75)).groupBy("g").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("x").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     low, high = F.min(F.when(inside, F.col("x"))), F.max(F.when(inside, F.col("x")))
@@ -214,7 +240,7 @@ def normal_quantiles(df: DataFrame, column: str) -> DataFrame:
     x = finite(_c(column))
     moments = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
     z = F.element_at(F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in ps]), F.round(F.col("p") * 100).cast("int"))
-    found = exact_quantiles(counted_values(df, [column]), tuple(ps))
+    found = exact_quantiles(counted_values(df, [column]), value_splits(df, [column]), tuple(ps))
     return found.join(F.broadcast(moments), how="cross").select("p", F.col("value").alias("actual"), (F.col("m") + F.col("s") * z).alias("expected"))  # one row
 
 

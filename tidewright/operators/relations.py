@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions.nulls import finite, is_numeric, real
-from .profile import _c, box, histogram, median, placed_values, value_counts, value_splits
+from .profile import _c, below_splits, box, histogram, median, placed_values, splits_of, value_counts, value_splits
 
 
 def _corr(a: Column, b: Column) -> Column:
@@ -43,24 +43,30 @@ def _counted_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return rows.groupBy("i", "u", "v").agg(F.count("*").alias("n"))
 
 
+def _side_splits(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> list[list[list[float]]]:
+    """For the first and the second column of all pairs, the values that cut it."""
+    cuts = dict(zip(columns, value_splits(df, columns), strict=True))
+    return [[cuts[pair[side]] for pair in pairs] for side in (0, 1)]
+
+
 def _named(found: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """found (i, correlation) by the names of the i-th pair."""
     names = F.get(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs]), F.col("i"))
     return found.select(names["x"].alias("x"), names["y"].alias("y"), "correlation")
 
 
-def _ranks(counted: DataFrame, side: str) -> DataFrame:
+def _ranks(counted: DataFrame, side: str, splits: list[list[float]]) -> DataFrame:
     """(i, side, rank from the middle of all, n): average ranks, counted from 0 at the mean rank."""
     values = counted.groupBy("i", F.col(side).alias("x")).agg(F.sum("n").alias("n")).withColumn("g", F.struct(F.lit(0).alias("all")))
     rank = F.col("below") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
-    return placed_values(values).select("i", F.col("x").alias(side), rank.alias(f"r{side}"))
+    return placed_values(values, splits).select("i", F.col("x").alias(side), rank.alias(f"r{side}"))
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(x, y, correlation) of average ranks, for each pair over the rows that have both; null if one column is constant. Ranks come from counted values."""
-    _, pairs = _pairs(df, columns)
-    counted = _counted_pairs(df, pairs)
-    ranked = counted.join(_ranks(counted, "u"), ["i", "u"]).join(_ranks(counted, "v"), ["i", "v"])
+    columns, pairs = _pairs(df, columns)
+    counted, (su, sv) = _counted_pairs(df, pairs), _side_splits(df, columns, pairs)
+    ranked = counted.join(_ranks(counted, "u", su), ["i", "u"]).join(_ranks(counted, "v", sv), ["i", "v"])
     weighted = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
     found = ranked.groupBy("i").agg(F.try_divide(weighted("ru", "rv"), F.sqrt(weighted("ru", "ru")) * F.sqrt(weighted("rv", "rv"))).alias("correlation"))
     return _named(found, pairs)
@@ -102,11 +108,10 @@ def kendall(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     in the same range of u (counted there), else in the same range of v (counted there, by the ranges of u), else in neither (counted
     from the table of ranges). Points of one value never invert, so no task holds more than about one range, whatever value is frequent.
     """
-    _, pairs = _pairs(df, columns)
-    counted = _counted_pairs(df, pairs)
-    ranges = lambda x, splits: F.size(F.filter(splits, lambda s: s < x)) * 2 + F.array_contains(splits, x).cast("int")
-    dealt = counted.join(F.broadcast(value_splits(counted, "i", "u", "su")), "i").join(F.broadcast(value_splits(counted, "i", "v", "sv")), "i")  # a row for each pair
-    dealt = dealt.select("i", "u", "v", "n", ranges(F.col("u"), F.col("su")).alias("ru"), ranges(F.col("v"), F.col("sv")).alias("rv"))
+    columns, pairs = _pairs(df, columns)
+    counted, (su, sv) = _counted_pairs(df, pairs), _side_splits(df, columns, pairs)
+    range_of = lambda x, splits: below_splits(F.col(x), splits) * 2 + F.array_contains(splits, F.col(x)).cast("int")
+    dealt = counted.withColumns({"ru": range_of("u", splits_of(su, F.col("i"))), "rv": range_of("v", splits_of(sv, F.col("i")))})
     same_u = _inverted(dealt.where("ru % 2 = 0"), ["i", "ru"], "u", "v")
     same_v = _inverted(dealt.where("rv % 2 = 0").groupBy("i", "rv", "ru", "v").agg(F.sum("n").alias("n")), ["i", "rv"], "ru", "v")
     apart = _inverted(dealt.groupBy("i", "ru", "rv").agg(F.sum("n").alias("n")), ["i"], "ru", "rv")  # at most (2 * RANGES) ** 2 points

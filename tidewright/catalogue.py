@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.examples import VALID
+from .functions.nulls import NULL_VALUES
 from .operators import country, identifiers, latlong, prepare, profile, relations, semantic, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +75,14 @@ _add("pair_counts", "part", lambda d: _rounded(profile.pair_counts(d, "p_brand",
 WITH c AS (SELECT p_brand AS x, p_type AS y, count(*) AS n FROM part GROUP BY 1, 2), tx AS (SELECT x FROM c GROUP BY x ORDER BY sum(n) DESC, x LIMIT 10), ty AS (SELECT y FROM c GROUP BY y ORDER BY sum(n) DESC, y LIMIT 3),
 r AS (SELECT x, CASE WHEN y IN (SELECT y FROM ty) THEN y ELSE 'Others' END AS y, sum(n) AS n FROM c WHERE x IN (SELECT x FROM tx) GROUP BY 1, 2)
 SELECT x, y, CAST(n AS BIGINT) AS count, round(n / sum(n) OVER (PARTITION BY x), 6) AS share FROM r""")
-_add("numeric_boxes", "part", lambda d: _rounded(profile.numeric_boxes(d, "p_size", "p_retailprice", 10)), None)
-_add("hexbins", "part", lambda d: profile.hexbins(d, "p_size", "p_retailprice", 50.0))
+_SIZE_BINS = """
+WITH e AS (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part),
+r AS (SELECT CAST(least(greatest(ceil((p_size - lo) / CAST(hi - lo AS DOUBLE) * 10) - 1, 0), 9) AS INTEGER) AS bin, p_retailprice AS y FROM part, e), q AS"""
+_add("numeric_boxes", "part", lambda d: _rounded(profile.numeric_boxes(d, "p_size", "p_retailprice", 10)), _BOX.format(g="bin", c="y", t="r", o="bin,", k="bin,").replace("WITH q AS", _SIZE_BINS))
+_add("hexbins", "part", lambda d: profile.hexbins(d, "p_size", "p_retailprice", 50.0), """
+WITH f AS (SELECT (p_size * (sqrt(3) / 3) - p_retailprice / 3) / 50 AS fq, p_retailprice * 2 / 3 / 50 AS fr FROM part), h AS (SELECT fq, fr, -fq - fr AS fs FROM f),
+n AS (SELECT *, round_even(fq, 0) AS q, round_even(fr, 0) AS r, round_even(fs, 0) AS s FROM h), d AS (SELECT *, abs(q - fq) AS dq, abs(r - fr) AS dr, abs(s - fs) AS ds FROM n)
+SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -r - s ELSE q END AS INTEGER) AS q, CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -q - s ELSE r END AS INTEGER) AS r, count(*) AS count FROM d GROUP BY 1, 2""")
 _TS = """
 WITH b AS (SELECT date_trunc('week', {c} + INTERVAL 1 DAY) - INTERVAL 1 DAY AS bucket, {v} AS v FROM {t}), m AS (SELECT bucket, {a} AS value FROM b GROUP BY 1),
 k AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL 7 DAY)) AS bucket)
@@ -158,7 +165,13 @@ _add("text_remove_prefixed", "documents", _cut("remove_prefixed", prefix="@"), _
 _add("text_replace_text", "customer", lambda d: text.clean_text(d.select("c_custkey", F.concat(F.lit("the "), F.lower("c_mktsegment"), F.lit(" of furniture makers")).alias("t")), "t", [{"operator": "replace_text", "parameters": {"value": {"furniture": "chair", "make": "x"}}}]), "SELECT c_custkey, 'the ' || replace(lower(c_mktsegment), 'furniture', 'chair') || ' of chair makers' AS t FROM customer")
 _add("text_remove_stopwords", "conversations", lambda d: text.clean_text(d.select("conv_id", "turn", "text"), "text", [{"operator": "remove_stopwords"}]).select("conv_id", "turn", F.md5("text").alias("digest")), f"SELECT conv_id, turn, md5(array_to_string(list_filter({_WORD.format('text')}, lambda w: lower(w) NOT IN ({_STOPPED})), ' ')) AS digest FROM conversations")
 _add("text_user_function", "customer", lambda d: text.clean_text(d.select("c_custkey", "c_name"), "c_name", [{"operator": lambda c, k: F.right(c, F.lit(k)), "parameters": {"k": 3}}]), "SELECT c_custkey, right(c_name, 3) AS c_name FROM customer")
-_add("text_default", "documents", lambda d: text.clean_text(d, "text").select("doc_id", F.md5("text").alias("digest")))
+_NULLS = ", ".join(f"'{x}'" for x in NULL_VALUES)
+_add("text_default", "documents", lambda d: text.clean_text(d, "text").select("doc_id", F.md5("text").alias("digest")), f"""
+WITH a AS (SELECT doc_id, lower(CASE WHEN text NOT IN ({_NULLS}) THEN text END) AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\p{{Nd}}+', '', 'g'), '{text.HTML}', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{text.URL}', '', 'g'), '[!-/:-@\\[-`{{-~]', ' ', 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(translate(t, '{text.ACCENTED}', '{text.PLAIN}'), '[^\\x00-\\x7F]', '', 'g') AS t FROM c),
+e AS (SELECT doc_id, array_to_string(list_filter({_WORD.format('t')}, lambda w: lower(w) NOT IN ({_STOPPED})), ' ') AS t FROM d)
+SELECT doc_id, md5(trim(regexp_replace(t, '[\\n\\t]| {{2,}}', ' ', 'g'), ' ')) AS digest FROM e""")
 _add("clean_url", "pages", lambda d: semantic.clean_url(d, "url", split=True).select("page_id", "scheme", "host", "url_clean"), "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^(https?://[^?#]*)', 1) AS url_clean FROM pages")
 _MAIL = lambda: F.concat(
     F.lit("User"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, F.lit(" at ")).otherwise(F.lit("@")), F.lit("Example.COM"))
@@ -185,7 +198,10 @@ _add("lat_long_two_columns", "customer", lambda d: latlong.clean_lat_long(d.sele
 _add("flatten_json", "events", lambda d: semantic.flattened_json(d.select("event_id", "props"), "props", "k long").select("event_id", "k"), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 _add("dedupe_fingerprint", "part", lambda d: d.select(prepare.fingerprint(F.col("p_name")).alias("f")).groupBy("f").agg(F.count("*").alias("n")), "SELECT array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(trim(p_name)), '[[:punct:][:cntrl:]]', '', 'g'), '\\s+'), lambda w: w <> ''))), ' ') AS f, count(*) AS n FROM part GROUP BY 1")
 _add("near_values", "part", lambda d: prepare.near_values(d, "p_name", 3, 3), "WITH v AS (SELECT DISTINCT p_name AS v FROM part) SELECT a.v AS a, b.v AS b, CAST(levenshtein(a.v, b.v) AS INTEGER) AS distance FROM v a JOIN v b ON a.v < b.v WHERE levenshtein(a.v, b.v) <= 3 AND len(list_intersect(list_transform(generate_series(1, greatest(length(a.v) - 2, 1)), lambda i: substr(a.v, i, 3)), list_transform(generate_series(1, greatest(length(b.v) - 2, 1)), lambda i: substr(b.v, i, 3)))) > 0")
-_add("clean_duplication", "part", lambda d: prepare.cluster_by_key(d, "p_name", prepare.ngram_fingerprint(F.col("value"))).select("key", "size"))
+_add("clean_duplication", "part", lambda d: prepare.cluster_by_key(d.select(F.concat("p_type", F.when(F.col("p_partkey") % 2 == 0, ".").otherwise("")).alias("t")), "t", prepare.ngram_fingerprint(F.col("value"))).select("key", "size"), """
+WITH p AS (SELECT p_type || CASE WHEN p_partkey % 2 = 0 THEN '.' ELSE '' END AS p FROM part), v AS (SELECT DISTINCT p AS v, regexp_replace(lower(p), '[[:punct:][:cntrl:]\\s]', '', 'g') AS t FROM p),
+k AS (SELECT v, CASE WHEN len(t) < 2 THEN t ELSE array_to_string(list_sort(list_distinct(list_transform(generate_series(1, len(t) - 1), lambda i: t[i:i + 1]))), '') END AS key FROM v)
+SELECT key, CAST(count(*) AS INTEGER) AS size FROM k GROUP BY 1 HAVING count(*) > 1""")
 _add("ml_scale", "supplier", lambda d: _rounded(prepare.Prepare("s_suppkey").fit(d).transform(d).select("s_suppkey", "s_acctbal")), "SELECT s_suppkey, round((s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER (), 6) AS s_acctbal FROM supplier")
 _add("ml_minmax", "supplier", lambda d: _rounded(prepare.Prepare("s_suppkey", num_scaling="minmax").fit(d).transform(d).select("s_suppkey", "s_acctbal")), "SELECT s_suppkey, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) AS s_acctbal FROM supplier")
 _gaps = lambda d: d.select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("v"), F.when(F.col("s_suppkey") % 4 == 1, "b").when(F.col("s_suppkey") % 4 > 1, "a").alias("w"), F.lit(1.0).alias("flat"))

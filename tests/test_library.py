@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import distributions as D
 from tidewright.functions.examples import VALID
-from tidewright.operators import country, identifiers, latlong, prepare, profile, relations, semantic, text
+from tidewright.operators import country, identifiers, latlong, prepare, profile, relations, report, semantic, text
 from tidewright.plans import lineage
 from tidewright.sources.rest import RestSource
 from tidewright.streaming.counters import windowed_counts
@@ -167,6 +167,71 @@ def test_rest_source(spark):
     assert len(got) == 25 and got[3] == (3, False, 1.5)
 
 
+def test_rest_source_by_tokens_and_its_parameters(spark):
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = parse_qs(urlparse(self.path).query)
+            asked.append(q)
+            at = int(q.get("after", q.get("page_token", q.get("offset", ["0"])))[0])
+            ids = [i for i in range(at, at + int(q["limit"][0])) if i < 7]
+            body = {"data": [{"id": i, "next": i + 1} for i in ids], "more": at + len(ids) if at + len(ids) < 7 else None}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(RestSource)
+
+    def got(**options):
+        asked.clear()
+        reader = spark.read.format("tidewright_rest").schema("id long")
+        return sorted(r.id for r in reader.options(url=f"http://127.0.0.1:{server.server_port}/", rows="data", count="30", page_size="3", **options).load().collect())
+
+    assert got(scheme="token", token_path="more", offset_key="page_token") == list(range(7)) and len(asked) == 3
+    assert got(scheme="seek", seek_path="next", offset_key="after") == list(range(7)) and len(asked) == 4
+    assert got(scheme="offset", tasks="1") == list(range(7)) and len(asked) == 4
+    with pytest.raises(Exception, match="unknown parameters: q"):
+        got(scheme="offset", params="lang", **{"param.q": "1"})
+    server.shutdown()
+
+
+def test_reports(spark):
+    rows = [(1, "a", 2.5, "2024-01-01"), (2, "<b>", None, "2024-01-02"), (3, None, 4.0, None), (4, "a", 4.0, "2024-02-01")]
+    df = spark.createDataFrame(rows, "id int, name string, x double, d string").withColumn("d", F.to_date("d"))
+    made = report.create_report(df)
+    assert {"overview", "memory", "variables: numbers", "variables: name", "variables: d", "correlations", "missing", "missing: totals"} == set(made)
+    got = json.loads(report.to_json(made))
+    assert {r["column"]: r["missing"] for r in got["missing"]} == {"id": 0, "name": 1, "x": 1, "d": 1}
+    assert {r["column"]: r["bytes"] for r in got["memory"]} == {"id": 16, "name": 5, "x": 32, "d": 16}
+    page = report.to_html({"values": made["variables: name"]}, "A & B")
+    assert "A &amp; B" in page and "&lt;b&gt;" in page and "<b>" not in page
+    diff = report.create_diff_report({"one": df, "two": df.where("id > 1")})
+    assert {(r._src, r["count"]) for r in diff["variables: name"].where("value = 'a'").collect()} == {("one", 2), ("two", 1)}
+    assert sum(r["count"] for r in diff["variables: d"].collect()) == 5
+    assert set(report.plot(df, "name", "x")) == {"groups"} and set(report.plot(df, "x", "d")) == {"series", "boxes"}
+    assert set(report.plot(df, "x")) == {"stats", "histogram", "box", "quantiles"} and set(report.plot(df, "d", "x", "name")) == {"series"}
+    with pytest.raises(ValueError):
+        report.plot(df, "d", "d")
+    assert [report.display(x) for x in (None, 12345678, 0.123456789, "t", True)] == ["", "12,345,678", "0.12346", "t", "True"]
+    assert [tuple(r) for r in relations.most_missing(df.select("id", "name", "x"), ["id"]).where("kind = 'row'").collect()] == [("row", "2", 1), ("row", "3", 1)]
+
+
+def test_insights_in_order(spark):
+    df = spark.createDataFrame([(f"k{i:02}", "same", float(i % 2)) for i in range(60)], "a string, b string, c double")
+    got = profile.insights(df)
+    kinds = {(r.kind, r.column) for r in got.collect()}
+    assert {("high_cardinality", "a"), ("unique", "a"), ("constant_length", "a"), ("constant", "b"), ("constant_length", "b"), ("zeros", "c")} <= kinds
+    pages = profile.insight_pages(got, 3).collect()
+    assert {r.page for r in pages} == set(range(1, -(-len(kinds) // 3) + 1)) and max(r.page for r in pages if r.kind == "zeros") == max(r.page for r in pages)
+    assert profile.insights(df.limit(0)).count() == 0
+
+
 def test_streaming_counts(spark, tmp_path):
     spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "a"), ("2024-01-01 02:00:00", None)], "t string, v string").withColumn("t", F.col("t").cast("timestamp")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("t timestamp, v string").parquet(str(tmp_path / "in"))

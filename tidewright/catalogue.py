@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.examples import VALID
 from .functions.nulls import NULL_VALUES
-from .operators import country, identifiers, latlong, prepare, profile, relations, semantic, text
+from .operators import country, identifiers, latlong, prepare, profile, relations, report, semantic, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,6 +218,23 @@ _add("time_profile", "orders", lambda d: profile.time_profile(d, "o_orderdate"),
 _add("top_groups_with_ties", "customer", lambda d: profile.top_groups(d, "c_nationkey", 3), "WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS value, count(*) AS count FROM customer GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY count DESC) AS r FROM c) SELECT value, count FROM r WHERE r <= 3")
 _add("joined_values", "nation", lambda d: profile.joined_values(d, "n_regionkey", "n_name"), "SELECT CAST(n_regionkey AS VARCHAR) AS value, string_agg(n_name, ',' ORDER BY n_name) AS joined FROM (SELECT DISTINCT n_regionkey, n_name FROM nation) GROUP BY 1")
 _add("missing_impact_all", "lineitem", lambda d: _rounded(relations.missing_impact_all(_holes(d), "a")), _HOLES + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS before, count({c}) FILTER (a IS NOT NULL) AS after FROM d" for c in ("l_orderkey", "l_linenumber", "b", "c")))
+_add("star_clusters", "part", lambda d: prepare.star_clusters(d, "p_name", 3, 3), """
+WITH v AS (SELECT DISTINCT p_name AS v FROM part), g AS (SELECT v, CASE WHEN len(v) > 3 THEN list_distinct(list_transform(generate_series(1, len(v) - 2), lambda i: v[i:i + 2])) ELSE [v] END AS g FROM v),
+n AS (SELECT a.v AS centre, b.v AS value FROM g a JOIN g b ON a.v <> b.v AND levenshtein(a.v, b.v) <= 3 AND len(list_intersect(a.g, b.g)) > 0), m AS (SELECT * FROM n UNION SELECT centre, centre FROM n),
+c AS (SELECT centre, list_sort(list(value)) AS members FROM m GROUP BY 1) SELECT cluster, unnest(members) AS value FROM (SELECT min(centre) AS cluster, members FROM c GROUP BY members)""")
+_add("most_missing", "lineitem", lambda d: relations.most_missing(_holes(d), ["l_orderkey", "l_linenumber"]), _HOLES + """, m AS (SELECT l_orderkey || ',' || l_linenumber AS name, CAST((a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT AS BIGINT) AS missing FROM d),
+r AS (SELECT 'row' AS kind, name, missing FROM m WHERE missing > 0 ORDER BY missing DESC, name LIMIT 5) SELECT * FROM r UNION ALL SELECT 'column', 'a', count(*) - count(a) FROM d UNION ALL SELECT 'column', 'b', count(*) - count(b) FROM d UNION ALL SELECT 'column', 'c', count(*) - count(c) FROM d""")
+_add("diff_times", "orders", lambda d: relations.diff_times({x: d.where(F.col("o_orderstatus") == x) for x in ("F", "O")}, "o_orderdate", "month"), "SELECT o_orderstatus AS _src, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS bucket, count(*) AS count FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2")
+_add("memory_estimate", "customer", lambda d: report.memory_estimate(d.select("c_name", "c_acctbal")), "SELECT 'c_name' AS \"column\", CAST(sum(strlen(c_name)) AS BIGINT) AS bytes FROM customer UNION ALL SELECT 'c_acctbal', 8 * count(*) FROM customer")
+_add("plot_text_and_text", "orders", lambda d: report.plot(d, "o_orderpriority", "o_orderstatus")["counts"].select("x", "y", "count"), "SELECT o_orderpriority AS x, o_orderstatus AS y, count(*) AS count FROM orders GROUP BY 1, 2")
+_add("plot_number_and_number", "lineitem", lambda d: _rounded(report.plot(d, "l_quantity", "l_extendedprice")["regression"]), ORACLES["regression"])
+_add("plot_three", "events", lambda d: _rounded(report.plot(d.withColumn("ts", F.date_trunc("day", "ts")), "value", "event_type", "ts")["series"].groupBy("group").agg(F.count("value").alias("buckets"))), """
+WITH e AS (SELECT date_trunc('day', ts) AS d, event_type, value FROM events), u AS (SELECT epoch(max(d)) - epoch(min(d)) AS s FROM e),
+w AS (SELECT unit FROM (VALUES ('year', 31557600, 1), ('quarter', 7889400, 2), ('month', 2629800, 3), ('week', 604800, 4), ('day', 86400, 5), ('hour', 3600, 6), ('minute', 60, 7), ('second', 1, 8)) AS t(unit, size, k), u ORDER BY abs(greatest(s, 1) / size - 10), k LIMIT 1),
+t AS (SELECT event_type FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)
+SELECT event_type AS "group", count(DISTINCT CASE (SELECT unit FROM w) WHEN 'week' THEN date_trunc('week', d + INTERVAL 1 DAY) ELSE date_trunc((SELECT unit FROM w), d) END) AS buckets FROM e WHERE value IS NOT NULL AND event_type IN (SELECT event_type FROM t) GROUP BY 1""")
+_add("report_missing", "lineitem", lambda d: report.create_report(_holes(d))["missing"], ORACLES["missing_bars"])
+_add("diff_report", "lineitem", lambda d: _rounded(report.create_diff_report(_by_flag(d))["statistics"]), ORACLES["diff_stats"])
 _add("drop_duplicates", "documents", lambda d: d.select("text").distinct().select(F.md5("text").alias("digest")), "SELECT DISTINCT md5(text) AS digest FROM documents")
 _add("downcast", "lineitem", lambda d: prepare.downcast(d.select("l_linenumber", "l_orderkey")).agg(F.max(F.typeof("l_linenumber")).alias("a"), F.sum("l_linenumber").alias("s")), "SELECT 'tinyint' AS a, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem")
 _add("insights", "lineitem", profile.insights)

@@ -75,6 +75,19 @@ def near_values(df: DataFrame, column: str, radius: int = 2, block: int = 6) ->
     return pairs.withColumn("distance", F.levenshtein("a", "b", radius)).where("distance >= 0")
 
 
+def star_clusters(df: DataFrame, column: str, radius: int = 2, block: int = 6) -> DataFrame:
+    """(cluster, value): each value that has near ones is the centre of a cluster of itself and them; equal clusters are given once, named by their first centre.
+
+    Clusters overlap and aren't closed by chains. They are told apart by two hashes of their members and their size, so that none is gathered.
+    """
+    pairs = near_values(df, column, radius, block).select("a", "b")
+    either = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    members = either.union(either.select("a", F.col("a").alias("b")).distinct()).select(F.col("a").alias("centre"), F.col("b").alias("value"))
+    marks = [F.bit_xor(F.xxhash64("value")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "value")).alias("h2"), F.count("*").alias("size")]
+    centres = members.groupBy("centre").agg(*marks).groupBy("h1", "h2", "size").agg(F.min("centre").alias("centre")).select("centre")
+    return members.join(centres, "centre").select(F.col("centre").alias("cluster"), "value")
+
+
 def merge_values(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]
     return df.withColumn(column, F.coalesce(F.element_at(F.create_map(*pairs), F.col(f"`{column}`")), F.col(f"`{column}`"))) if pairs else df

@@ -387,7 +387,8 @@ def insights(df: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFr
             x, r = finite(c), real(c)
             aggs += [F.count(r).alias(f"n{i}"), F.count_distinct(r).alias(f"d{i}"), F.count_if(x == 0).alias(f"z{i}"), F.count_if(x < 0).alias(f"g{i}"), (F.count(r) - F.count(x)).alias(f"i{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         else:
-            aggs += [F.count(c).alias(f"n{i}"), F.count_distinct(as_text(c, f.dataType)).alias(f"d{i}")]
+            shown = as_text(c, f.dataType)
+            aggs += [F.count(c).alias(f"n{i}"), F.count_distinct(shown).alias(f"d{i}"), F.min(F.char_length(shown)).alias(f"short{i}"), F.max(F.char_length(shown)).alias(f"long{i}")]
     row = df.agg(*aggs).first()
     n, out = row["rows"], []
     if not n:
@@ -415,6 +416,22 @@ def insights(df: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFr
                     out.append(("normal", f.name, D.normal_test(counts)[1]))
                 if D.skew_test(counts)[1] < t["skewed"]:
                     out.append(("skewed", f.name, D.skew_test(counts)[1]))
-        elif row[f"d{i}"] > t["high_cardinality"] and not is_time(f.dataType):
-            out.append(("high_cardinality", f.name, float(row[f"d{i}"])))
+        elif not is_time(f.dataType) and here:
+            if row[f"d{i}"] > t["high_cardinality"]:
+                out.append(("high_cardinality", f.name, float(row[f"d{i}"])))
+            if row[f"short{i}"] == row[f"long{i}"]:
+                out.append(("constant_length", f.name, float(row[f"long{i}"])))
+            if row[f"d{i}"] == here:
+                out.append(("unique", f.name, float(here)))
     return df.sparkSession.createDataFrame(out, "kind string, column string, value double")
+
+
+#: The order in which findings are shown.
+SHOWN = ("uniform", "similar_distribution", "missing", "skewed", "infinity", "duplicates", "normal", "high_cardinality", "constant", "constant_length", "unique", "negatives", "zeros")
+
+
+def insight_pages(found: DataFrame, size: int = 10) -> DataFrame:
+    """Findings in the order of their kinds, then of the columns' names, with the page each is on; there are a few for each column of a frame."""
+    place = F.array_position(F.array(*[F.lit(k) for k in SHOWN]), F.col("kind"))
+    row = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.when(place > 0, place).otherwise(len(SHOWN) + 1), "kind", "column"))
+    return found.withColumn("page", F.ceil(row / size).cast("int"))

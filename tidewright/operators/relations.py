@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions.nulls import finite, is_numeric, real
-from .profile import _c, below_splits, box, histogram, median, placed_values, splits_of, value_counts, value_splits
+from .profile import _c, auto_unit, below_splits, box, bucket, histogram, median, placed_values, splits_of, value_counts, value_splits
 
 
 def _corr(a: Column, b: Column) -> Column:
@@ -183,6 +183,15 @@ def missing_stats(df: DataFrame) -> DataFrame:
     return out.select("rows", "missing_cells", "missing_rows", columns.alias("missing_columns"), (F.col("missing_cells") / F.col("rows")).alias("per_row"), (F.col("missing_cells") / len(m)).alias("per_column"))
 
 
+def most_missing(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """(kind, name, missing): of columns and of rows, named by their keys, the first k of those that lack most; none if nothing is missing."""
+    columns = missing_bars(df).where("missing > 0").select(F.lit("column").alias("kind"), F.col("column").alias("name"), "missing")
+    cells = sum((v.cast("long") for v in _missing(df).values()), F.lit(0))
+    rows = df.select(F.lit("row").alias("kind"), F.concat_ws(",", *[_c(c).cast("string") for c in keys]).alias("name"), cells.alias("missing")).where("missing > 0")
+    first = lambda found: found.orderBy(F.desc("missing"), "name").limit(k)
+    return first(columns).union(first(rows))
+
+
 def missing_spectrum(df: DataFrame, order: str, bins: int = 20) -> DataFrame:
     """(bin, column, missing, rows): contiguous bins of rows in the order of a key.
 
@@ -268,6 +277,14 @@ def diff_bars(frames: dict[str, DataFrame], column: str, top: int = 10) -> DataF
     return rows.join(F.broadcast(keep), F.col("value") == F.col("v"), "left_semi").groupBy("value", "_src").agg(F.count("*").alias("count"))
 
 
+def diff_times(frames: dict[str, DataFrame], column: str, unit: str | None = None) -> DataFrame:
+    """(_src, bucket, count): the rows of each frame over time; the unit is that which suits the whole range, if none is given."""
+    both = labelled(frames)
+    unit = unit or auto_unit(both, column)
+    rows = both.select("_src", bucket(_c(column).cast("timestamp"), unit).alias("bucket")).where("bucket is not null")
+    return rows.groupBy("_src", "bucket").agg(F.count("*").alias("count"))
+
+
 def diff_boxes(frames: dict[str, DataFrame], column: str) -> DataFrame:
     return box(labelled(frames), column, ["_src"])
 

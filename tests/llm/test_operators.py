@@ -226,6 +226,23 @@ def test_top_k_with_ties_gaps_and_bad_rows(spark):
     assert topk.nearest(df.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    g = np.random.default_rng(4)
+    rows = [(i, (g.integers(-9, 10, 6) * 2.0**18).tolist()) for i in range(120)] + [(200, [2.0**23, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    near = [(i, [x * 2 for x in v]) for i, v in rows]  # sums of products are near the end of the longs
+    for given in (rows, near):
+        got = collections.defaultdict(list)
+        for r in topk.nearest(spark.createDataFrame(given, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        whole = {i: [math.floor(256 * x) for x in v] for i, v in given}
+        for q in (0, 50, 100, 200):
+            want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+            assert got[q] == [(i, -s) for s, i in want]
+    for value in (2.0**31, 1e38):  # a score that is no long; a component that is none
+        with pytest.raises(Exception, match="no long|too large"):
+            topk.nearest(spark.createDataFrame([(0, [value]), (1, [value])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_passages_repeated_across_documents_are_found(spark):
     passage, line = prose(60), prose(60)
     near = line.split()

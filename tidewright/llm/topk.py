@@ -8,7 +8,7 @@ what the lists can still give is below the k-th score found, or nothing is left
 Components x are quantised to floor(256 * x), so scores are integers and ties are exact; they go to the smaller vec_id.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor does a null vec_id. Vectors of another length than the
-query's are no candidates of it. Rows that repeat a vec_id with another vector are candidates each; a query's own vec_id never is. Equal rows count once.
+query's are no candidates of it. Rows that repeat a vec_id with another vector are candidates each; a query's own vec_id never is. Equal rows count once. A component of 2**54 or more, and a score that is no long, raise an error.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from .common import table
 
 SCALE, TOP, EVERY = 256, 5, 50
+LARGEST = float(2**62)  # bounds 256 * x, so that it and its negative are longs
 VECTORS, QUERIES, DEPTH = 16_384, 2_048, 64  # rows of a block of vectors and of queries, entries of a list at a step
 
 
@@ -32,7 +33,9 @@ def quantised(vectors: DataFrame) -> DataFrame:
     """(vec_id, dims, q: array<long>) of the vectors that take part, each once."""
     e = F.col("embedding")
     fine = e.isNotNull() & F.col("vec_id").isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.where(fine).select(F.col("vec_id").cast("long"), F.size(e).alias("dims"), F.transform(e, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long")).alias("q")).distinct()
+    scaled = lambda x: F.lit(float(SCALE)) * x.cast("double")
+    whole = lambda x: F.when(F.abs(scaled(x)) < LARGEST, F.floor(scaled(x)).cast("long")).otherwise(F.raise_error(F.lit("a component is too large to be quantised")))
+    return vectors.where(fine).select(F.col("vec_id").cast("long"), F.size(e).alias("dims"), F.transform(e, whole).alias("q")).distinct()
 
 
 class Block:
@@ -51,12 +54,21 @@ class Block:
         """Inner products; in floating point where that is exact, which is faster."""
         if self.exact and len(query) * self.peak * float(np.abs(query).max(initial=0)) < 2**53:
             return (self.floats[at] @ query.astype(float)).astype(np.int64)
-        return self.rows[at] @ query
+        if not self.wide(query):
+            return self.rows[at] @ query
+        wide = self.rows[at].astype(object) @ query.astype(object)
+        if any(abs(score) >= 2**63 for score in wide):
+            raise ValueError("a score is no long")
+        return wide.astype(np.int64)
+
+    def wide(self, query: np.ndarray) -> bool:
+        """Whether a sum of products could leave the range of a long."""
+        return len(query) * self.peak * float(np.abs(query).max(initial=0)) >= 2**62
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the k best rows other than the query's own."""
         n = len(self.ids)
-        live = np.flatnonzero(query)
+        live, wide = np.flatnonzero(query), self.wide(query)
         up = query[live] > 0
         seen = self.ids == query_id
         left = n - int(seen.sum())
@@ -77,7 +89,8 @@ class Block:
             if len(found) > k:
                 keep = np.lexsort((self.ids[found], -scores))[:k]
                 found, scores = found[keep], scores[keep]
-            bound = int((self.sorted[place[:, -1], live] * query[live]).sum())
+            last = self.sorted[place[:, -1], live]
+            bound = sum(a * b for a, b in zip(last.tolist(), query[live].tolist(), strict=True)) if wide else int((last * query[live]).sum())
             if not left or len(found) == k and bound < scores.min():
                 break
         if not len(live):  # all scores are 0

@@ -201,6 +201,16 @@ def test_rest_source_by_tokens_and_its_parameters(spark):
     server.shutdown()
 
 
+def test_countries_of_the_whole_table(spark):
+    table = country.iso_countries(spark)
+    assert len(table) > 240 and {len(row) for row in table} == {4}
+    df = spark.createDataFrame([("IS",), ("isl",), ("Iceland",), ("Norway",), ("578",), ("nowhere",), (None,)], "c string")
+    got = [r.c_clean for r in country.clean_country(df, "c", "alpha-3", table=table).collect()]
+    assert got == ["ISL", "ISL", "ISL", "NOR", "NOR", None, None]
+    with pytest.raises(Exception, match="not a country: nowhere"):
+        country.clean_country(df, "c", errors="raise", table=table).collect()
+
+
 def test_reports(spark):
     rows = [(1, "a", 2.5, "2024-01-01"), (2, "<b>", None, "2024-01-02"), (3, None, 4.0, None), (4, "a", 4.0, "2024-02-01")]
     df = spark.createDataFrame(rows, "id int, name string, x double, d string").withColumn("d", F.to_date("d"))

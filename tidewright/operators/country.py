@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import is_null
@@ -19,8 +19,16 @@ COUNTRIES = [tuple(x.split("|")) for x in (
 FORMATS = {"name": 0, "alpha-2": 1, "alpha-3": 2, "numeric": 3}
 
 
+def iso_countries(spark: SparkSession) -> list[tuple]:
+    """A fuller table: every country of ISO 3166 by the names and letter codes that the JVM's locales give, with numbers where COUNTRIES has them."""
+    known = {row[1]: row for row in COUNTRIES}
+    locale = spark._jvm.java.util.Locale
+    found = [(code, locale("", code)) for code in locale.getISOCountries()]
+    return [known.get(code) or (place.getDisplayCountry(locale.ENGLISH), code, place.getISO3Country(), None) for code, place in found]
+
+
 def _lookup(c: Column, by: int, out: int, table: list[tuple]) -> Column:
-    pairs = [F.lit(x) for row in table for x in (row[by].lower(), row[out])]
+    pairs = [F.lit(x) for row in table if row[by] is not None for x in (row[by].lower(), row[out])]
     return F.element_at(F.create_map(*pairs), c)
 
 
@@ -44,4 +52,5 @@ def is_country(c: Column) -> Column:
 def clean_country(df: DataFrame, column: str, output_format: str = "name", input_format: str = "auto", fuzzy_dist: int = 0, errors: str = "coerce", table: list[tuple] = COUNTRIES) -> DataFrame:
     c = F.col(f"`{column}`")
     found = convert(c, output_format, input_format, table, fuzzy_dist)
-    return df.withColumn(f"{column}_clean", F.coalesce(found, c.cast("string")) if errors == "ignore" else found).withColumn("__null", is_null(c)).drop("__null")
+    bad = {"coerce": F.lit(None), "ignore": c.cast("string"), "raise": F.when(~is_null(c), F.raise_error(F.concat(F.lit("not a country: "), c.cast("string"))))}[errors]
+    return df.withColumn(f"{column}_clean", F.coalesce(found, bad))

@@ -174,3 +174,32 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError):
         common.shared_dir(Fake)
+
+
+def test_components_are_put_together_without_looking_all_nodes_up_each_round(spark, monkeypatch):
+    wrote = collections.Counter()
+    plain = common.table
+
+    def counted(df, what):
+        out = plain(df, what)
+        wrote[what] += out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "table", counted)
+    path = [(10_000 + k, 10_001 + k) for k in range(200)]  # needs many rounds
+    pairs = [(2 * k, 2 * k + 1) for k in range(2_000)]  # are done after one
+    comps = neardup.components(spark.createDataFrame(pairs + path, "a long, b long"))
+    assert comps.count() == 4_201 and wrote["roots"] <= 4_201 + 2 * 201
+    wrote.clear()
+    more = [(1, 2), (9_000, 9_001), (9_001, 3), (0, 1), (10_150, 8)]
+    got = {r.node: r.comp for r in neardup.joined(comps, spark.createDataFrame(more, "a long, b long")).collect()}
+    want = {**{k: k - k % 2 for k in range(4_000)}, **{k: 8 for k in range(10_000, 10_201)}, **{k: 0 for k in (0, 1, 2, 3, 9_000, 9_001)}}
+    assert got == want and wrote["roots"] <= 12  # only what the new links touch
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    jvm = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = jvm.shuffleStatuses().size()
+    for k in range(3):
+        common.table(spark.range(1_000).groupBy("id").count(), f"counts{k}")
+    assert jvm.shuffleStatuses().size() <= before

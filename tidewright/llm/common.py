@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 #: Arrow batches stay this small in rows and bytes, so that very long texts don't pile up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+#: Whether Spark removes the shuffle files of a query when it ends; otherwise they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -58,9 +60,15 @@ def _remove() -> None:
 
 
 def table(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage, outlives executors, and has a known size."""
+    """df written as Parquet in the shared folder and read back: cuts lineage, outlives executors, and has a known size. The write's own shuffle files go with its end."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

@@ -7,6 +7,7 @@ joins on a hot bucket or node are plain equi-joins that adaptive execution can s
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -18,35 +19,53 @@ from .common import drop, fits, maybe_broadcast, table
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for each node of undirected edges (a, b): comp is the smallest node of its component.
 
-    Every round hooks each node to the neighbour that comes first in a random order and contracts; a path or a star shrinks by a constant factor.
+    Every round hooks each node to the neighbour that comes first in a random order and contracts; a path or a star shrinks by a constant factor. The hooks of
+    the rounds are put together from the last, smallest one back, so that a node is looked up once and not in every round.
     """
     key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     edges = table(edges.where("a != b").select("a", "b"), "edges")
-    found: DataFrame | None = None
+    hooks: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(key("b")).alias("m")).select("a", F.least(key("a"), F.col("m"))["v"].alias("m"))
         hook = table(near, "hooks")
         hook_a, hook_b = hook.select("a", F.col("m").alias("x")), hook.select(F.col("a").alias("b"), F.col("m").alias("y"))
         left = edges.join(hook_a, "a").join(hook_b, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        step, old_found = hook.select("a", "m"), found
-        if found is None:
-            found = step.select(F.col("a").alias("node"), F.col("m").alias("root"))
-        else:
-            found = found.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("m", "root").alias("root"))
-        old, found = (old_found, hook, edges), table(found, "roots")
-        edges = table(left, "edges")
-        drop(*old)
-    if found is None:
+        hooks.append(hook)
+        old, edges = edges, table(left, "edges")
+        drop(old)
+    if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    found: DataFrame | None = None
+    for hook in reversed(hooks):
+        roots = hook.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        if found is not None:
+            up = found.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            roots = table(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+            drop(found)
+        found = roots
     least = found.groupBy("root").agg(F.min("node").alias("comp"))
-    return table(found.join(least, "root").select("node", "comp"), "components")
+    out = table(found.join(least, "root").select("node", "comp"), "components")
+    drop(edges, found, *hooks)
+    return out
+
+
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, comp), a former result of components, with further links (a, b): only these are worked off, between components."""
+    of = lambda c, x: comps.select(F.col("node").alias(c), F.col("comp").alias(x))
+    ends = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    step = components(ends.where("a != b").distinct())
+    moved = comps.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    fresh = step.join(comps, "node", "left_anti").select("node", "comp")
+    out = table(moved.union(fresh), "components")
+    drop(comps, step)
+    return out
 
 
-def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, small: int = 8) -> tuple[DataFrame, DataFrame]:
+def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, small: int = 8, done: Callable[[], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links of classes (node, bands: array<long>) whose sets have 100 * intersection >= percent * union, and their components.
 
-    If classes have the column owner, rows may repeat a node, and only buckets of several owners are looked at. sets_of(nodes) gives (node, items: array<long>, distinct) for a frame of nodes. Returns links (a, b) between different nodes that settle all
+    If classes have the column owner, rows may repeat a node, only buckets of several owners are looked at, and bands may be dealt over columns whose names begin so. done is called when classes are read no more. sets_of(nodes) gives (node, items: array<long>, distinct) for a frame of nodes. Returns links (a, b) between different nodes that settle all
     components, and (node, comp) for the nodes in them. No pair that shares a bucket and could join two components goes unexamined:
 
     1. The pivot of a bucket, its member with the most company in all its buckets, is compared with all others.
@@ -60,6 +79,8 @@ def link(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
        min(cap_d, cap_e) + min(|d & B|, |e & B|) >= o must hold; pairs for which it doesn't are left out (_possible).
     """
     member = _members(classes)
+    if done is not None:
+        done()
     sets = table(sets_of(member.select("node").distinct()).withColumn("size", F.size("items")), "sets")
     company = member.groupBy("node").agg(F.sum("n").alias("company"))
     pivot = member.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("pivot"))
@@ -101,12 +122,14 @@ def _inside(many: DataFrame, percent: int) -> DataFrame:
 
 def _outside(many: DataFrame, sets: DataFrame) -> DataFrame:
     """(bucket, node, n, size, both, cap): for each member of a pivot the rare items outside it that any near partner must share one of."""
+    many = table(many, "many")
+    sets = _in_pairs(sets, many)
     of_a, of_b = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("node").alias("b"), "items")
     outside = many.select("a", "b", "need", "both", F.col("size_b").alias("size")).join(of_a, "a").join(of_b, "b")
     outside = outside.select("a", "b", "both", "size", F.array_except("items", "items_a").alias("rest"), "need")
+    outside = outside.where(F.size("rest") >= F.col("need"))
     outside = outside.select("a", "b", "both", "size", F.explode("rest").alias("item"), F.size("rest").alias("n_rest"), (F.size("rest") - F.col("need") + 1).alias("prefix"))
     outside = table(outside, "outside")
-    outside = outside.where("prefix > 0")
     often = outside.groupBy("a", "item").agg(F.count("*").alias("often")).where("often > 1")  # items of one member come first in the order, and lead nowhere
     both = outside.join(often, ["a", "item"])
     order = W.partitionBy("a", "b").orderBy("often", "item")
@@ -121,11 +144,17 @@ def _members(classes: DataFrame) -> DataFrame:
     if "owner" not in classes.columns:
         buckets = classes.select("node", F.explode("bands").alias("bucket"))
         return table(buckets.join(maybe_broadcast(table(_shared(buckets), "shared")), "bucket"), "members")
-    buckets = classes.select("node", "owner", F.explode("bands").alias("bucket"))
-    low = F.col("node").bitwiseAND(0x7FFFFFFF).cast("int")  # enough to tell two nodes of a bucket apart, and half as long
-    shared = buckets.groupBy("bucket").agg(F.min(low).alias("a"), F.max(low).alias("b"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("a < b and lo < hi").select("bucket")
-    shared = maybe_broadcast(table(shared, "shared"))
-    member = table(buckets.select("node", "bucket").join(shared, "bucket", "left_semi").distinct(), "members")
+    # 32 bits are enough to tell two nodes or owners of a bucket apart (owners below 2**32 always); where all are alike, the bits set in one and in all are the same
+    owner = F.col("owner").bitwiseXOR(F.shiftright("owner", 32) * 0x9E3779B1)
+    who = F.shiftleft(owner, 32).bitwiseOR(F.col("node").bitwiseAND(0xFFFFFFFF))
+    parts = []
+    for bands in (c for c in classes.columns if c.startswith("bands")):  # one after the other, as each shuffle's files go before the next
+        buckets = classes.select("node", who.alias("who"), F.explode(bands).alias("bucket"))
+        seen = buckets.groupBy("bucket").agg(F.bit_or("who").bitwiseXOR(F.bit_and("who")).alias("apart"))
+        shared = seen.where((F.col("apart").bitwiseAND(0xFFFFFFFF) != 0) & (F.shiftrightunsigned("apart", 32) != 0)).select("bucket")
+        shared = maybe_broadcast(table(shared, "shared"))
+        parts.append(table(buckets.select("node", "bucket").join(shared, "bucket", "left_semi").distinct(), "members"))
+    member = reduce(DataFrame.union, parts)
     return table(member.join(_shared(member), "bucket"), "members")
 
 
@@ -163,10 +192,17 @@ def _near(percent: int):
 def _more(links: DataFrame | None, comps: DataFrame | None, near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The links with those of compared pairs, and the components if there are new ones."""
     new = table(near.where(_near(percent)).select("a", "b"), "near")
-    if links is not None and comps is not None and new.isEmpty():
+    if links is None or comps is None:
+        return new, components(new)
+    if new.isEmpty():
         return links, comps
-    links = table(new if links is None else links.union(new), "links")
-    return links, components(links)
+    return links.union(new), joined(comps, new)
+
+
+def _in_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the nodes in pairs (a, b), or all if these nodes are too many to be broadcast."""
+    nodes = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    return sets.join(F.broadcast(nodes), "node", "left_semi") if fits(nodes) else sets
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,9 +211,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Sets are shuffled only where they are in a pair, unless the nodes in pairs are too many to be broadcast.
     """
     pairs = table(pairs.distinct(), "pairs")
-    nodes = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    if fits(nodes):
-        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
+    sets = _in_pairs(sets, pairs)
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"), F.col("size").alias("size_a"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"), F.col("size").alias("size_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("both"))

@@ -26,12 +26,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textsets as X
-from .common import maybe_broadcast, small_batches, table, text_of
+from .common import drop, maybe_broadcast, small_batches, table, text_of
 from .neardup import link
 
 MIN_WORDS, PASSAGE, AMONG, WIDTH, PERCENT, MIN_RUN = 20, 20, 31, 5, 80, 50
 BANDS, ROWS, W_BANDS, W_ROWS = 12, 4, 3, 3
 KEYS = ["doc_id", "row_hash"]
+#: Bands are dealt over so many columns, whose buckets are worked off one after the other.
+PARTS = 3
+BANDS_OF = [f"bands_{k}" for k in range(PARTS)]
 
 
 def layout(w: X.Words, newlines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +71,12 @@ def _names(s: X.Sets) -> list[int]:
     return [int.from_bytes(d[:8], "little", signed=True) for d in X.digests(s) if d is not None]
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """A list for each row of a matrix."""
+    n, m = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * m, pa.int32()), pa.array(rows.ravel(), pa.int64()))
+
+
 def _paragraphs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of_layout, of_windows = X.Circulant(BANDS * ROWS, BANDS), X.Circulant(W_BANDS * W_ROWS, W_BANDS, seed=11)
     for part in parts:
@@ -80,9 +89,9 @@ def _paragraphs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 of = np.searchsorted(w.first, lo, side="right") - 1
                 from_text = w.first[of]
                 names = pa.array(_names(s), pa.int64())
-                bands = pa.array(sketch.band_keys(s), pa.list_(pa.int64()))
+                bands = [_lists(part) for part in np.split(sketch.keys(s), PARTS, axis=1)]
                 at = pa.array(of + a)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lo - from_text, pa.int32()), pa.array(hi - from_text, pa.int32()), names, bands], names=[*KEYS, "start", "end", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lo - from_text, pa.int32()), pa.array(hi - from_text, pa.int32()), names, *bands], names=[*KEYS, "start", "end", "node", *BANDS_OF])
     X.tidy()
 
 
@@ -100,17 +109,22 @@ def _paragraph_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     X.tidy()
 
 
+def _around(h: np.ndarray, places: list[int], side: int) -> pa.ListArray:
+    """Of each place the hashes of the AMONG words before it (side -1, nearest first) or from it on (side 1)."""
+    return pa.array([h[max(0, p - AMONG) : p][::-1] if side < 0 else h[p : p + AMONG] for p in places], pa.list_(pa.int32()))
+
+
 def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the AMONG words before (side -1, nearest first) or from (side 1) a place in a text."""
-    reach = AMONG
+    """What is wanted of each text, ranges of words (start, end, and what else) or places (place), with the words before and from there on."""
     for part in parts:
-        texts, wanted = part.column(2).to_pylist(), part.column(3).to_pylist()
+        texts, wanted = part.column(2).to_pylist(), part.column(3)
         for k, text in enumerate(texts):
             h = (X.words([text]).hashes >> X.U(32)).astype(np.uint32).view(np.int32)
-            places, sides = [x["place"] for x in wanted[k]], [x["side"] for x in wanted[k]]
-            found = [h[max(0, p - reach) : p][::-1] if side < 0 else h[p : p + reach] for p, side in zip(places, sides, strict=True)]
-            at = pa.array(np.full(len(places), k))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(places, pa.int32()), pa.array(sides, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=[*KEYS, "place", "side", "words"])
+            asked = wanted[k].values
+            names = [f.name for f in asked.type]
+            low, high = (asked.field(c).to_pylist() for c in (("place", "place") if "place" in names else ("start", "end")))
+            at = pa.array(np.full(len(low), k))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *asked.flatten(), _around(h, low, -1), _around(h, high, 1)], names=[*KEYS, *names, "before", "after"])
     X.tidy()
 
 
@@ -131,10 +145,17 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     the place of the cluster's first copy (keeper, k_hash, k_start, k_end)."""
     small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("row_hash"), text_of().cast("binary").alias("text"))
-    seen = table(texts.mapInArrow(_paragraphs, "doc_id long, row_hash long, start int, end int, node long, bands array<long>"), "paragraphs")
+    seen = table(texts.mapInArrow(_paragraphs, "doc_id long, row_hash long, start int, end int, node long, " + ", ".join(f"{b} array<long>" for b in BANDS_OF)), "paragraphs")
+
+    often = table(seen.groupBy("node").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("last")).where("at < last").select("node"), "repeated")
+
+    banded, seen = seen, None
+
+    def narrow() -> None:
+        nonlocal seen
+        seen = table(banded.drop(*BANDS_OF), "paragraphs")
+        drop(banded)
 
-    often = seen.groupBy("node").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    often = table(often.select("node", "at", "last"), "repeated")
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = maybe_broadcast(table(nodes, "nodes"))
         first = seen.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*KEYS, "start", "end")).alias("p"))
@@ -144,10 +165,11 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
 
     rows = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1")
     repeated_rows = not rows.isEmpty()
-    _, comps = link(seen.select("node", F.col("doc_id").alias("owner"), "bands"), sets_of, percent)
-    named = comps.select("node", F.col("comp").alias("cluster")).union(often.where("at < last").join(comps, "node", "left_anti").select("node", F.col("node").alias("cluster")))
-    found = seen.drop("bands").distinct() if repeated_rows else seen.drop("bands")
+    _, comps = link(banded.select("node", F.col("doc_id").alias("owner"), *BANDS_OF), sets_of, percent, done=narrow)
+    named = comps.select("node", F.col("comp").alias("cluster")).union(often.join(comps, "node", "left_anti").select("node", F.col("node").alias("cluster")))
+    found = seen.distinct() if repeated_rows else seen
     found = table(found.join(maybe_broadcast(table(named, "named")), "node").drop("node"), "members")
+    drop(seen)
     first = F.min(F.struct(*KEYS, "start", "end"))
     keep = found.groupBy("cluster").agg(first.alias("k"), F.max("doc_id").alias("last")).where("k.doc_id < last")
     keep = keep.select("cluster", F.col("k.doc_id").alias("keeper"), F.col("k.row_hash").alias("k_hash"), F.col("k.start").alias("k_start"), F.col("k.end").alias("k_end"))
@@ -162,15 +184,20 @@ def repeats(docs: DataFrame, percent: int = PERCENT, min_run: int = MIN_RUN) ->
     runs = _runs(members.where("doc_id != keeper"), per_run, 0).agg(F.min(F.struct("start", "k_start")).alias("l"), F.max(F.struct("end", "k_end")).alias("r"))
     runs = table(runs.select(*per_run, "l.start", "l.k_start", "r.end", "r.k_end"), "runs")
 
-    place = lambda d, h, p, side: runs.select(F.col(d).alias("doc_id"), F.col(h).alias("row_hash"), F.col(p).alias("place"), F.lit(side).alias("side"))
-    places = place("doc_id", "row_hash", "start", -1).union(place("keeper", "k_hash", "k_start", -1)).union(place("doc_id", "row_hash", "end", 1)).union(place("keeper", "k_hash", "k_end", 1)).distinct()
-    asked = places.groupBy(*KEYS).agg(F.collect_list(F.struct("place", "side")).alias("wanted"))
-    near = table(_of_texts(texts, asked).select(*KEYS, "text", "wanted").mapInArrow(_contexts, "doc_id long, row_hash long, place int, side int, words array<int>"), "contexts")
-    near = maybe_broadcast(near)
-    out = runs
-    for d, h, p, side, name in (("doc_id", "row_hash", "start", -1, "l"), ("keeper", "k_hash", "k_start", -1, "kl"), ("doc_id", "row_hash", "end", 1, "r"), ("keeper", "k_hash", "k_end", 1, "kr")):
-        out = out.join(near.where(F.col("side") == side).select(F.col("doc_id").alias(d), F.col("row_hash").alias(h), F.col("place").alias(p), F.col("words").alias(name)), [d, h, p])
-    out = out.select(*per_run, (F.col("start") - _alike("l", "kl")).alias("start"), (F.col("end") + _alike("r", "kr")).alias("end"))
+    # a run takes along the words about it; those about the keeper's places, which many runs may share, are joined
+    ends = ["start", "end", "keeper", "k_hash", "k_start", "k_end"]
+    asked = runs.groupBy(*KEYS).agg(F.collect_list(F.struct(*ends)).alias("wanted"))
+    out = _of_texts(texts, asked).select(*KEYS, "text", "wanted").mapInArrow(_contexts, "doc_id long, row_hash long, start int, end int, keeper long, k_hash long, k_start int, k_end int, before array<int>, after array<int>")
+    out = table(out, "contexts")
+    place = lambda p, side: runs.select(F.col("keeper").alias("doc_id"), F.col("k_hash").alias("row_hash"), F.col(p).alias("place"), F.lit(side).alias("side"))
+    places = place("k_start", -1).union(place("k_end", 1)).groupBy(*KEYS, "place").agg(F.min("side").alias("least"), F.max("side").alias("most"))
+    asked = places.groupBy(*KEYS).agg(F.collect_list(F.struct("place", "least", "most")).alias("wanted"))
+    kept = _of_texts(texts, asked).select(*KEYS, "text", "wanted").mapInArrow(_contexts, "doc_id long, row_hash long, place int, least int, most int, before array<int>, after array<int>")
+    kept = table(kept, "kept")
+    for edge, own, side in (("start", "before", "least = -1"), ("end", "after", "most = 1")):  # one side's words are let go before the other's are joined
+        near = kept.where(side).select(F.col("doc_id").alias("keeper"), F.col("row_hash").alias("k_hash"), F.col("place").alias(f"k_{edge}"), F.col(own).alias("kept"))
+        out = table(out.join(maybe_broadcast(near), ["keeper", "k_hash", f"k_{edge}"]).withColumn(f"more_{edge}", _alike(own, "kept")).drop(own, "kept"), f"{edge}s")
+    out = out.select(*per_run, (F.col("start") - F.col("more_start")).alias("start"), (F.col("end") + F.col("more_end")).alias("end"))
     out = _runs(out, per_run, WIDTH).agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return out.where(F.col("end") - F.col("start") >= min_run).drop("run")
 

@@ -211,16 +211,19 @@ class Circulant:
     def band_keys(self, s: Sets) -> list[np.ndarray | None]:
         """For each text one 64-bit key for each band, None for a text without items."""
         out: list[np.ndarray | None] = [None] * len(s.sizes)
+        for k, keys in zip(np.flatnonzero(s.sizes > 0).tolist(), self.keys(s), strict=True):
+            out[k] = keys
+        return out
+
+    def keys(self, s: Sets) -> np.ndarray:
+        """A row of one 64-bit key for each band for each text that has items."""
         if not len(s.items):
-            return out
+            return np.zeros((0, self.bands), np.int64)
         rows = self.signature(s).astype(np.uint64).reshape(-1, self.bands, self.k // self.bands)
         keys = np.zeros(rows.shape[:2], np.uint64) + self.salt
         for j in range(rows.shape[2]):
             keys = _mix((keys ^ rows[:, :, j]) * _COEF[j % 16] + U(j))
-        keys = keys.view(np.int64)
-        for i, k in enumerate(np.flatnonzero(s.sizes > 0).tolist()):
-            out[k] = keys[i]
-        return out
+        return keys.view(np.int64)
 
 
 def tidy() -> None:

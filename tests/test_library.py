@@ -140,6 +140,16 @@ def test_preparation(spark):
     assert prepare.cluster_by_key(names, "v", prepare.fingerprint(F.col("value"))).first().size == 2
 
 
+def test_scaling_beside_a_column_of_many_values(spark):
+    df = spark.createDataFrame([(i, float(i), None if i == 3 else f"name {9 - i}") for i in range(5)], "k int, n double, c string")
+    of = lambda **given: prepare.Prepare("k", num_scaling="minmax", **given).fit(df).transform(df)
+    assert [r.n for r in of(categories=2).select("k", "n").orderBy("k").collect()] == [0.0, 0.25, 0.5, 0.75, 1.0]
+    for given in ({}, {"cat_imputation": "most_frequent"}, {"fill": "a"}, {"fill": None}):  # both ways give the same columns, whatever fills the gaps
+        assert of(categories=2, **given).orderBy("k").collect() == of(**given).orderBy("k").collect()
+    fitted = prepare.Prepare("k", categories=2).fit(df)
+    assert [list(r.c) for r in fitted.transform(df.where("k = 0").withColumn("c", F.lit("name 8"))).collect()] == [[0, 0, 0, 1, 0]]
+
+
 def test_lineage(spark):
     spark.createDataFrame([(1, 2)], "a int, b int").createOrReplaceTempView("base")
     got = lineage.of_sql(spark, {"v2": "CREATE VIEW v2 AS SELECT s + 1 AS t FROM v1", "v1": "SELECT a + b AS s, a FROM base"})

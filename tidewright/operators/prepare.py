@@ -96,7 +96,7 @@ def merge_values(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFra
 class Prepare:
     """Imputation, encoding, variance threshold and scaling, fitted by aggregates over the training rows; only what the options ask for is computed.
 
-    One-hot encoding raises ValueError for a column of more than categories values.
+    One-hot encoding holds a column's values in its plan; those of a column of more than categories values are read again from the training rows, where the column is used.
     """
 
     def __init__(self, target: str, cat_imputation: str = "constant", fill: str = "missing_value", num_imputation: str = "mean", cat_encoding: str = "one_hot", variance: float | None = None, num_scaling: str = "standardize", categories: int = 10_000) -> None:
@@ -138,10 +138,22 @@ class Prepare:
             if self.encoding != "one_hot":
                 self.columns[c] = v
                 continue
-            values = sorted({*s["values"], *([fill] if s["n"] < s["rows"] and fill is not None else [])})
-            self.columns[c] = F.array(*[(v == k).cast("double") for k in values])
+            also = [fill] if s["n"] < s["rows"] and fill is not None else []
+            if s["values"] is None:
+                values = self._values(df, c, also)
+                size, at = F.size(values), F.array_position(values, v).cast("int")  # Spark takes no subquery in transform()
+                found = F.concat(F.array_repeat(F.lit(0.0), at - 1), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), size - at))
+                self.columns[c] = F.when(at > 0, found).otherwise(F.array_repeat(F.when(v.isNotNull(), 0.0), size))
+                continue
+            self.columns[c] = F.array(*[(v == k).cast("double") for k in sorted({*s["values"], *also})])
         return self
 
+    @staticmethod
+    def _values(df: DataFrame, c: str, also: list[str]) -> Column:
+        """The values of a text column in order, as one array: a subquery, which Spark only runs if its result is used."""
+        found = df.select(to_null(F.col(f"`{c}`")).alias("x")).where("x is not null").distinct().agg(F.collect_list("x").alias("values"))
+        return found.select(F.array_sort(F.array_union("values", F.array(*[F.lit(x) for x in also]).cast("array<string>")))).scalar()
+
     def _fit_counted(self, df: DataFrame, numbers: list[str], texts: list[str], row: dict[str, dict]) -> None:
         """Adds to row what only some options need, from counted values: medians, most frequent values, and the values of each text column."""
         if self.num == "median" and numbers:
@@ -156,12 +168,10 @@ class Prepare:
             if self.cat == "most_frequent":
                 self._most_frequent(counted, row, "t")
             if self.encoding == "one_hot":
-                for i, c in enumerate(texts):
-                    row[f"t{i}"]["values"] = []
-                most = counted.groupBy("i").agg(F.count("*").alias("k")).where(F.col("k") > self.categories).first()
-                if most is not None:
-                    raise ValueError(f"{texts[most['i']]} has {most['k']} values, more than the {self.categories} that one-hot encoding takes")
-                for r in counted.select("i", "x").collect():  # at most categories rows for each column
+                many = [r["i"] for r in counted.groupBy("i").agg(F.count("*").alias("k")).where(F.col("k") > self.categories).collect()]  # a row for each column at most
+                for i in range(len(texts)):
+                    row[f"t{i}"]["values"] = None if i in many else []
+                for r in counted.where(~F.col("i").isin(many)).select("i", "x").collect():  # at most categories rows for each column
                     row[f"t{r['i']}"]["values"].append(r["x"])
 
     @staticmethod

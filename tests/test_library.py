@@ -6,6 +6,7 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright import catalogue
 from tidewright.functions import distributions as D
 from tidewright.functions.examples import VALID
 from tidewright.operators import country, identifiers, latlong, prepare, profile, relations, report, semantic, text
@@ -150,6 +151,14 @@ def test_scaling_beside_a_column_of_many_values(spark):
     assert [list(r.c) for r in fitted.transform(df.where("k = 0").withColumn("c", F.lit("name 8"))).collect()] == [[0, 0, 0, 1, 0]]
 
 
+def test_registered_scaling_of_more_suppliers_than_categories(spark, tmp_path):
+    rows = spark.range(10_001).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("Supplier#"), F.col("id")).alias("s_name"), F.lit(1).alias("s_nationkey"), F.col("id").cast("double").alias("s_acctbal"))
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.s_suppkey: r.s_acctbal for r in catalogue.QUERIES["ml_scale"](spark, str(tmp_path)).collect()}
+    std = (10_001 * 10_002 / 12) ** 0.5
+    assert len(got) == 10_001 and all(abs(got[k] - (k - 5_000) / std) < 1e-6 for k in range(10_001))
+
+
 def test_lineage(spark):
     spark.createDataFrame([(1, 2)], "a int, b int").createOrReplaceTempView("base")
     got = lineage.of_sql(spark, {"v2": "CREATE VIEW v2 AS SELECT s + 1 AS t FROM v1", "v1": "SELECT a + b AS s, a FROM base"})

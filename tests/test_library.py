@@ -133,6 +133,19 @@ def test_profiles_of_odd_columns(spark):
     assert relations.pearson(df).first().correlation is None
 
 
+def test_missing_spectrum_against_sorted_rows(spark):
+    key = {"bigint": F.col("id"), "string": F.concat(F.lit("k"), F.col("id") % 300), "date": F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") % 9).cast("int")), "boolean": F.col("id") < 30_000}
+    for kind, c in key.items():
+        df = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 11 != 5, c).alias("k"), F.when(F.col("id") * 31 % 7 != 0, 1.5).alias("p"))
+        rows = sorted(((r.k is not None, r.k if r.k is not None else 0, r.p is None) for r in df.collect()), key=lambda r: (r[0], r[1] if r[0] else 0, r[2]))
+        parts = [rows[i : i + 5_714] for i in range(0, 40_000, 5_714)]  # seven bins of 40,000 // 7, and two rows beyond
+        want = {(b, "k", sum(not r[0] for r in x), len(x)) for b, x in enumerate(parts)} | {(b, "p", sum(r[2] for r in x), len(x)) for b, x in enumerate(parts)}
+        assert sorted(map(tuple, relations.missing_spectrum(df, "k", 7).collect())) == sorted(want), kind
+    few = spark.createDataFrame([(2, None), (1, 1.0)], "k int, p double")
+    assert sorted(map(tuple, relations.missing_spectrum(few, "k").collect())) == [(0, "k", 0, 2), (0, "p", 1, 2)]
+    assert relations.missing_spectrum(few.where("k > 2"), "k").collect() == []
+
+
 def test_preparation(spark):
     df = spark.createDataFrame([(1.0, "a", 0), (3.0, None, 1), (None, "b", 1)], "n double, c string, y int")
     out = prepare.Prepare("y", num_scaling="minmax").fit(df).transform(df).collect()

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import distributions as D
 from ..functions.nulls import finite, is_numeric, real
-from .profile import _c, auto_unit, below_splits, box, bucket, histogram, median, placed_values, splits_of, value_counts, value_splits
+from .profile import RANGES, _c, auto_unit, below_splits, box, bucket, histogram, median, placed_values, splits_of, value_counts, value_splits
 
 
 def _corr(a: Column, b: Column) -> Column:
@@ -192,21 +193,40 @@ def most_missing(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return first(columns).union(first(rows))
 
 
+def _key_splits(df: DataFrame, key: str) -> DataFrame:
+    """(splits): one row of values in order that cut the rows by a key of any type into RANGES ranges of about equal size.
+
+    They come from chance rows and differ from run to run, so they are fetched once: all that is placed by them is placed by the same ones.
+    """
+    some = df.select(_c(key).alias("k")).where("k is not null").orderBy(F.rand()).limit(RANGES * 64).agg(F.sort_array(F.collect_list("k")).alias("k"))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda j: F.get("k", F.floor(j * F.size("k") / RANGES).cast("int")))
+    found = some.select(F.array_distinct(F.filter(cuts, lambda x: x.isNotNull()))).first()[0]
+    made = df.sparkSession.createDataFrame([(found,)], T.StructType([T.StructField("splits", T.ArrayType(df.schema[key].dataType))]))
+    return made.select(F.sort_array("splits").alias("splits"))
+
+
 def missing_spectrum(df: DataFrame, order: str, bins: int = 20) -> DataFrame:
-    """(bin, column, missing, rows): contiguous bins of rows in the order of a key.
+    """(bin, column, missing, rows): contiguous bins of rows in the order of a key, rows of one key in the order of what they lack.
 
-    Row numbers come from counts of the range-partitioned key's partitions, not from one sorted task.
+    Rows alike in key and masks are counted and dealt into ranges of the key; ranges are summed, and rows are numbered within their range only. Nothing
+    depends on the partitions rows are in, which may differ each time the plan is run.
     """
     m = _missing(df)
     n = df.count()
     size = max(1, n // max(1, min(bins, n - 1)))
-    flagged = df.select(_c(order).alias("__key"), *[v.cast("long").alias(f"m{i}") for i, v in enumerate(m.values())]).repartitionByRange("__key").sortWithinPartitions("__key")
-    flagged = flagged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
-    counts = flagged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    placed = flagged.join(F.broadcast(before), "__p").withColumn("bin", F.floor((F.col("__before") + F.col("__i")) / size).cast("int"))  # a row for each partition
-    made = placed.groupBy("bin").agg(F.count("*").alias("rows"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(m))])
-    return made.select("bin", "rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing")) for i, c in enumerate(m)])).alias("z")).select("bin", "z.column", "z.missing", "rows")
+    masks = [f"m{i}" for i in range(len(m))]
+    alike = df.select(_c(order).alias("__key"), *[v.cast("long").alias(k) for k, v in zip(masks, m.values())]).groupBy("__key", *masks).agg(F.count("*").alias("__n"))
+    dealt = alike.join(F.broadcast(_key_splits(df, order)), how="cross").withColumn("__range", below_splits(F.col("__key"), F.col("splits"))).drop("splits")  # one row
+    before = F.coalesce(F.sum("__s").over(W.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy("__range").agg(F.sum("__n").alias("__s")).select("__range", before.alias("__before"))  # RANGES rows at most
+    inside = F.coalesce(F.sum("__n").over(W.partitionBy("__range").orderBy("__key", *masks).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("__inside", inside).join(F.broadcast(sums), "__range").withColumn("__from", F.col("__before") + F.col("__inside")).withColumn("__to", F.col("__from") + F.col("__n"))
+    at = lambda row: F.floor(row / size).cast("int")
+    cut = placed.withColumn("bin", F.explode(F.sequence(at(F.col("__from")), at(F.col("__to") - 1))))
+    start = F.col("bin").cast("long") * size
+    cut = cut.withColumn("__k", F.least("__to", start + size) - F.greatest("__from", start))
+    made = cut.groupBy("bin").agg(F.sum("__k").alias("rows"), *[F.sum(F.col(k) * F.col("__k")).alias(k) for k in masks])
+    return made.select("bin", "rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(k).alias("missing")) for k, c in zip(masks, m)])).alias("z")).select("bin", "z.column", "z.missing", "rows")
 
 
 def missing_heatmap(df: DataFrame) -> DataFrame:

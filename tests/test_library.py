@@ -51,6 +51,20 @@ def test_text_steps(spark):
     assert run("#tag word", "remove_prefixed", prefix="#") == " word"
 
 
+def test_sentence_case_of_all_letters_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    letters = [(i, x) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 for x in (chr(i),) if x.upper() != x or x.lower() != x or 0xA7C0 < i < 0xA7E0 or 0x1C80 < i < 0x1C90 or 0x10D40 < i < 0x10D90]
+    rows = [(2 * i, x + "aB") for i, x in letters] + [(2 * i + 1, "aB" + x + " " + x + "\n.") for i, x in letters] + [(-1, "ßHEIT, ẞ"), (-2, "xΑΣ ΣΑΣ"), (-3, ""), (-4, None), (-5, "ﬁN"), (-6, "İİ"), (-7, "日Σ😀É")]
+    df = spark.createDataFrame(rows, "i long, t string")
+    got = {r.i: r.t for r in text.clean_text(df, "t", [{"operator": "sentence_case"}]).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i BIGINT, text VARCHAR)")
+    con.execute("INSERT INTO t SELECT unnest($1::BIGINT[]), unnest($2::VARCHAR[])", [[i for i, _ in rows], [x for _, x in rows]])
+    want = dict(con.execute("SELECT i, upper(substr(text, 1, 1)) || lower(substr(text, 2)) FROM t").fetchall())
+    assert len(got) == len(rows) and {i: (x, want[i]) for i, x in got.items() if x != want[i]} == {}
+    assert got[-1] == "ẞheit, ß" and got[-2] == "Xασ σασ"
+
+
 def test_headers(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], ["bookTitle", "__Author", "Publication (year)", "Number_Of_Pages"])
     assert text.clean_headers(df).columns == ["book_title", "author", "publication_year", "number_of_pages"]

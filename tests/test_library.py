@@ -148,7 +148,7 @@ def test_profiles_of_odd_columns(spark):
 
 
 def test_missing_spectrum_against_sorted_rows(spark):
-    key = {"bigint": F.col("id"), "string": F.concat(F.lit("k"), F.col("id") % 300), "date": F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") % 9).cast("int")), "boolean": F.col("id") < 30_000}
+    key = {"bigint": F.col("id"), "string": F.concat(F.lit("k"), F.col("id") % 300), "date": F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") % 9).cast("int")), "boolean": F.col("id") < 30_000, "timestamp": F.timestamp_seconds(1_761_400_000 + F.col("id") * 7 % 40_000), "decimal": (F.col("id") * 3 % 40_000).cast("decimal(12,2)"), "struct": F.struct((F.col("id") % 50).alias("a"), F.lit("b").alias("b"))}
     for kind, c in key.items():
         df = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 11 != 5, c).alias("k"), F.when(F.col("id") * 31 % 7 != 0, 1.5).alias("p"))
         rows = sorted(((r.k is not None, r.k if r.k is not None else 0, r.p is None) for r in df.collect()), key=lambda r: (r[0], r[1] if r[0] else 0, r[2]))

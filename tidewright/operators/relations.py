@@ -193,34 +193,55 @@ def most_missing(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return first(columns).union(first(rows))
 
 
-def _key_splits(df: DataFrame, key: str) -> DataFrame:
-    """(splits): one row of values in order that cut the rows by a key of any type into RANGES ranges of about equal size.
+def _key_splits(df: DataFrame, key: str) -> list:
+    """Values in order that cut the rows by a key of any type into RANGES ranges of about equal size.
 
     They come from chance rows and differ from run to run, so they are fetched once: all that is placed by them is placed by the same ones.
     """
     some = df.select(_c(key).alias("k")).where("k is not null").orderBy(F.rand()).limit(RANGES * 64).agg(F.sort_array(F.collect_list("k")).alias("k"))
     cuts = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda j: F.get("k", F.floor(j * F.size("k") / RANGES).cast("int")))
-    found = some.select(F.array_distinct(F.filter(cuts, lambda x: x.isNotNull()))).first()[0]
-    made = df.sparkSession.createDataFrame([(found,)], T.StructType([T.StructField("splits", T.ArrayType(df.schema[key].dataType))]))
-    return made.select(F.sort_array("splits").alias("splits"))
+    return some.select(F.array_distinct(F.filter(cuts, lambda x: x.isNotNull()))).first()[0]
+
+
+def _with_range(rows: DataFrame, key: str, splits: list) -> DataFrame:
+    """rows with __range, how many of the splits are below the key, by nested conditions, which are compiled.
+
+    Splits are literals, but for types that Python may give back in another order, such as times in clock changes, one row that is joined.
+    """
+    kind = rows.schema[key].dataType
+    if isinstance(kind, (T.NumericType, T.StringType, T.BooleanType, T.DateType)):
+        split = lambda j: F.lit(splits[j])
+    else:
+        made = rows.sparkSession.createDataFrame([(splits,)], T.StructType([T.StructField("s", T.ArrayType(kind))]))
+        rows = rows.join(F.broadcast(made.select(F.sort_array("s").alias("__splits"))), how="cross")  # one row
+        split = lambda j: F.get("__splits", F.lit(j))
+
+    def found(lo: int, hi: int) -> Column:
+        middle = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(split(middle) < F.col(key), found(middle + 1, hi)).otherwise(found(lo, middle))
+
+    return rows.withColumn("__range", found(0, len(splits))).drop("__splits")
 
 
 def missing_spectrum(df: DataFrame, order: str, bins: int = 20) -> DataFrame:
     """(bin, column, missing, rows): contiguous bins of rows in the order of a key, rows of one key in the order of what they lack.
 
-    Rows alike in key and masks are counted and dealt into ranges of the key; ranges are summed, and rows are numbered within their range only. Nothing
-    depends on the partitions rows are in, which may differ each time the plan is run.
+    Rows are counted by ranges of the key, which gives their number before each range. In ranges that lie in one bin only the masks count; in the others
+    rows alike in key and masks are counted, and numbered within their range. Nothing depends on the partitions rows are in, which may differ each time
+    the plan is run.
     """
     m = _missing(df)
-    n = df.count()
-    size = max(1, n // max(1, min(bins, n - 1)))
     masks = [f"m{i}" for i in range(len(m))]
-    alike = df.select(_c(order).alias("__key"), *[v.cast("long").alias(k) for k, v in zip(masks, m.values())]).groupBy("__key", *masks).agg(F.count("*").alias("__n"))
-    dealt = alike.join(F.broadcast(_key_splits(df, order)), how="cross").withColumn("__range", below_splits(F.col("__key"), F.col("splits"))).drop("splits")  # one row
-    before = F.coalesce(F.sum("__s").over(W.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = dealt.groupBy("__range").agg(F.sum("__n").alias("__s")).select("__range", before.alias("__before"))  # RANGES rows at most
+    rows = df.select(_c(order).alias("__key"), *[v.cast("long").alias(k) for k, v in zip(masks, m.values())])
+    rows = _with_range(rows, "__key", _key_splits(df, order))
+    held = dict(rows.groupBy("__range").count().collect())  # RANGES rows at most
+    before = [0, *itertools.accumulate(held.get(r, 0) for r in range(RANGES))]
+    n = before[-1]
+    size = max(1, n // max(1, min(bins, n - 1)))
+    several = [r for r, k in held.items() if before[r] // size != (before[r] + k - 1) // size]
+    alike = rows.withColumn("__key", F.when(F.col("__range").isin(several), F.col("__key"))).groupBy("__range", "__key", *masks).agg(F.count("*").alias("__n"))
     inside = F.coalesce(F.sum("__n").over(W.partitionBy("__range").orderBy("__key", *masks).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = dealt.withColumn("__inside", inside).join(F.broadcast(sums), "__range").withColumn("__from", F.col("__before") + F.col("__inside")).withColumn("__to", F.col("__from") + F.col("__n"))
+    placed = alike.withColumn("__from", F.get(F.array(*[F.lit(k).cast("long") for k in before]), F.col("__range")) + inside).withColumn("__to", F.col("__from") + F.col("__n"))
     at = lambda row: F.floor(row / size).cast("int")
     cut = placed.withColumn("bin", F.explode(F.sequence(at(F.col("__from")), at(F.col("__to") - 1))))
     start = F.col("bin").cast("long") * size

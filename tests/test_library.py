@@ -186,6 +186,30 @@ def test_registered_scaling_of_more_suppliers_than_categories(spark, tmp_path):
     assert len(got) == 10_001 and all(abs(got[k] - (k - 5_000) / std) < 1e-6 for k in range(10_001))
 
 
+def test_registered_scaling_needs_no_expression_for_each_supplier(spark, tmp_path):
+    rows = spark.range(2_000).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("Supplier#"), F.col("id")).alias("s_name"), F.lit(1).alias("s_nationkey"), F.col("id").cast("double").alias("s_acctbal"))
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    plan, found = catalogue.QUERIES["ml_scale"](spark, str(tmp_path))._jdf.queryExecution().analyzed(), 0
+    listed = lambda s: [s.apply(i) for i in range(min(s.size(), 1_000))]
+    while plan is not None:
+        todo = listed(plan.expressions())
+        while todo and found < 1_000:
+            found += 1
+            todo += listed(todo.pop().children())
+        plan = plan.children().apply(0) if plan.children().size() else None
+    assert 20 < found < 1_000
+
+
+def test_one_hot_of_odd_texts(spark):
+    texts = ["a", "A", "a ", "\u00e9", "e\u0301", "\U0001f600", "\uffff", '"', "\\", "\\n", "\n", "\x00", "[]", "{", "'", ",", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, c string")
+    names = sorted({*texts[:-1], "missing_value"})
+    want = [[float(x == (t or "missing_value")) for x in names] for t in texts]
+    assert [list(r.c) for r in prepare.Prepare("k").fit(df).transform(df).orderBy("k").collect()] == want
+    assert [list(r.c) for r in prepare.Prepare("k", fill=None).fit(df).transform(df.where("k > 14")).orderBy("k").collect()] == [[float(x == ",") for x in names if x != "missing_value"], [None] * 16]
+    assert prepare.Prepare("k", fill=None).fit(df.where("c is null")).transform(df.where("c is null")).first().c == []
+
+
 def test_lineage(spark):
     spark.createDataFrame([(1, 2)], "a int, b int").createOrReplaceTempView("base")
     got = lineage.of_sql(spark, {"v2": "CREATE VIEW v2 AS SELECT s + 1 AS t FROM v1", "v1": "SELECT a + b AS s, a FROM base"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,7 +98,7 @@ def merge_values(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFra
 class Prepare:
     """Imputation, encoding, variance threshold and scaling, fitted by aggregates over the training rows; only what the options ask for is computed.
 
-    One-hot encoding holds a column's values in its plan; those of a column of more than categories values are read again from the training rows, where the column is used.
+    One-hot encoding holds a column's values in its plan, as one literal; those of a column of more than categories values are read again from the training rows, where the column is used.
     """
 
     def __init__(self, target: str, cat_imputation: str = "constant", fill: str = "missing_value", num_imputation: str = "mean", cat_encoding: str = "one_hot", variance: float | None = None, num_scaling: str = "standardize", categories: int = 10_000) -> None:
@@ -139,13 +141,11 @@ class Prepare:
                 self.columns[c] = v
                 continue
             also = [fill] if s["n"] < s["rows"] and fill is not None else []
-            if s["values"] is None:
-                values = self._values(df, c, also)
-                size, at = F.size(values), F.array_position(values, v).cast("int")  # Spark takes no subquery in transform()
-                found = F.concat(F.array_repeat(F.lit(0.0), at - 1), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), size - at))
-                self.columns[c] = F.when(at > 0, found).otherwise(F.array_repeat(F.when(v.isNotNull(), 0.0), size))
-                continue
-            self.columns[c] = F.array(*[(v == k).cast("double") for k in sorted({*s["values"], *also})])
+            # one literal for all values: with an expression for each, Spark takes minutes to resolve 10,000, even where the column isn't used
+            values = self._values(df, c, also) if s["values"] is None else F.from_json(F.lit(json.dumps(sorted({*s["values"], *also}))), "array<string>")
+            size, at = F.size(values), F.array_position(values, v).cast("int")  # Spark takes no subquery in transform()
+            found = F.concat(F.array_repeat(F.lit(0.0), at - 1), F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), size - at))
+            self.columns[c] = F.when(at > 0, found).otherwise(F.array_repeat(F.when(v.isNotNull(), 0.0), size))
         return self
 
     @staticmethod
